@@ -8,7 +8,9 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this package; each module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
-MODULES = {}
+MODULES = {
+    "op5_line_dedup": "line_dedup",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
