@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this package; each module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
+    "op3_packing": "packing",
     "op5_line_dedup": "line_dedup",
+    "op10_decontaminate": "decontaminate",
 }
 
 
