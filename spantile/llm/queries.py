@@ -12,6 +12,7 @@ MODULES = {
     "op2_sharding": "sharding",
     "op3_packing": "packing",
     "op5_line_dedup": "line_dedup",
+    "op6_fingerprints": "fingerprints",
     "op10_decontaminate": "decontaminate",
 }
 
