@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op2_sharding": "sharding",
     "op3_packing": "packing",
+    "op4_toxicity": "toxicity",
     "op5_line_dedup": "line_dedup",
     "op6_fingerprints": "fingerprints",
     "op10_decontaminate": "decontaminate",
