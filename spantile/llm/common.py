@@ -47,3 +47,11 @@ def lower_ascii(text: Column) -> Column:
 def whole(text: Column) -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def small_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Rows of numbers, of a bounded count, that the JVM holds without any Python worker."""
+    parts = names.split(", ")
+    values = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in rows)
+    casts = [f"CAST(`{name}` AS {kind}) AS `{name}`" for name, kind in map(str.split, parts)]
+    return spark.sql(f"SELECT {', '.join(casts)} FROM VALUES {values} AS t({', '.join(f'`{p.split()[0]}`' for p in parts)})")

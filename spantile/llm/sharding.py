@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, documents, whole
+from .common import cut, documents, small_table, whole
 
 SHARDS = 24
 DIMENSIONS = ("lang", "source", "n_chars")
@@ -63,7 +63,7 @@ def _slim(docs: DataFrame, dimensions: tuple[str, ...]) -> tuple[DataFrame, int]
 
 def _table(data: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     """A row for each open node: as many as leaves at most, and so small enough to hand to every task."""
-    return F.broadcast(data.sparkSession.createDataFrame(rows, schema))
+    return F.broadcast(small_table(data.sparkSession, rows, schema))
 
 
 def _level(data: DataFrame, nodes: list[Node], dims: int) -> DataFrame:
