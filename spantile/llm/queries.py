@@ -14,6 +14,7 @@ MODULES = {
     "op4_toxicity": "toxicity",
     "op5_line_dedup": "line_dedup",
     "op6_fingerprints": "fingerprints",
+    "op7_jaccard_join": "jaccard_join",
     "op9_licenses": "licenses",
     "op10_decontaminate": "decontaminate",
 }
