@@ -166,8 +166,8 @@ def sets(docs: DataFrame, counters: np.ndarray, light: int, k: int, percent: int
         hashes, weight = Hashes(), handed.value
         for batch in batches:
             rows = [one(text if isinstance(text, str) else "", hashes, weight) for text in batch["text"].array]
-            out = pd.DataFrame(rows, columns=["n", "kid", "sketch", "heavy", "long", "light", "small"])
-            kid = pd.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in out["kid"]], dtype="Int64")
+            kid = pd.array([None if r[1] is None else r[1] - (1 << 64) if r[1] >> 63 else r[1] for r in rows], dtype="Int64")
+            out = pd.DataFrame([(r[0], *r[2:]) for r in rows], columns=["n", "sketch", "heavy", "long", "light", "small"])
             yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), kid=kid)
 
     schema = "n long, kid long, sketch array<long>, heavy array<long>, long array<long>, light array<long>, small array<int>, doc_id long"
