@@ -160,15 +160,21 @@ def in_text(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(starts[a], ends[b - 1]) for a, b in spans]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id, n_edits, start_char, end_char."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items, in blocks of about BLOCK_BYTES; one empty block if there are none."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-total // BLOCK_BYTES) or 1
-    out = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct().collect()
-        found = _block(docs, sorted((r[0], r[1]) for r in rows if r[0] is not None), rate)
+        yield sorted((r[0], r[1]) for r in rows)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """One row for each document and item that it holds: doc_id, item_id, n_edits, start_char, end_char."""
+    out = None
+    for items in _blocks(benchmark):
+        found = _block(docs, items, rate)
         out = found if out is None else out.unionByName(found)
     best = F.min(F.struct("n_edits", "start_char", "end_char")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
@@ -188,6 +194,24 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFr
     return docs.select("doc_id", "text").mapInPandas(look, "doc_id long, item_id long, n_edits long, start_char long, end_char long")
 
 
+def _leaks(items: list[tuple[int, str]], rate: float):
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        asked = Items(items, rate)
+        for texts in batches:
+            yield pd.Series([bool(isinstance(t, str) and asked.matches(normal(t))) for t in texts], dtype="bool")
+
+    look.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(look, "boolean")
+
+
+def holds_any(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """``docs`` with a column ``leaks``: whether the text holds an item within its budget."""
+    out = docs.withColumn("leaks", F.lit(False))
+    for items in _blocks(benchmark):
+        out = out.withColumn("leaks", F.col("leaks") | _leaks(items, rate)("text"))
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark, 512)
     return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
