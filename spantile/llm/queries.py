@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this package; each module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
+    "op1_suffix_dedup": "suffix_dedup",
     "op2_sharding": "sharding",
     "op3_packing": "packing",
     "op4_toxicity": "toxicity",
