@@ -16,6 +16,7 @@ MODULES = {
     "op5_line_dedup": "line_dedup",
     "op6_fingerprints": "fingerprints",
     "op7_jaccard_join": "jaccard_join",
+    "op8_lm_scoring": "lm_scoring",
     "op9_licenses": "licenses",
     "op10_decontaminate": "decontaminate",
 }
