@@ -129,6 +129,16 @@ class Plan:
         """For each start its longest end."""
         if isinstance(node, Repeat) and node.sign != "?":
             return self.runs(node.item).withColumnRenamed("end", "e")
+        if isinstance(node, Sequence) and node.items and isinstance(last := node.items[-1], Repeat) and last.sign != "?" and isinstance(last.item, Token) and not _slots(last.item):
+            if all(x == last.item for x in node.items[:-1]):
+                # so many of the same in a row: runs that are long enough
+                least = len(node.items) - (last.sign == "*")
+                return self.runs(last.item).where(F.col("end") - F.col("s") >= least).withColumnRenamed("end", "e")
+            # of a repeat at the end, its longest run is enough
+            left = self.sequence(list(node.items[:-1]))
+            runs = self.runs(last.item).withColumnRenamed("s", "e")
+            held = left.join(runs, [*self.keys, "e"], "left" if last.sign == "*" else "inner")
+            return held.groupBy(*self.keys, "s").agg(F.max(F.coalesce("end", "e")).alias("e")).where("e > s")
         found = self.relation(node)
         return found.where("e > s").groupBy(*self.keys, "s").agg(F.max("e").alias("e"))
 

@@ -73,5 +73,5 @@ def pretty(surface: Column, feature: Column) -> Column:
     parts = F.split(feature, ",")
     tags = F.array_join(F.filter(F.slice(parts, 1, 4), lambda x: x != "*"), ".")
     form = F.when(F.coalesce(F.get(parts, 5), F.lit("*")) != "*", F.concat(F.lit("["), F.get(parts, 5), F.lit("]")))
-    base = F.when((F.coalesce(F.get(parts, 6), F.lit("*")) != "*") & (F.get(parts, 6) != surface), F.concat(F.lit("@"), F.get(parts, 6)))
+    base = F.when(~F.coalesce(F.get(parts, 6), F.lit("")).isin("*", "") & (F.get(parts, 6) != surface), F.concat(F.lit("@"), F.get(parts, 6)))
     return F.concat_ws(" ", surface, tags, form, base)

@@ -15,9 +15,15 @@ from ..plans.pattern import EMPTY, Grammar, PatternError, Rule, parse
 CSV_COLUMNS = ("rule_name", "levels", "name", "description", "connection", "pattern", "examples")
 EXAMPLES = "array<struct<sentence: string, translations: array<struct<lang: string, text: string>>>>"
 
-GRAMMARS = T.StructType.fromDDL("id bigint, rule_name string, levels string, name string, description string, connection string, pattern string, source string, source_url string, created_at timestamp, updated_at timestamp")
-EXAMPLE_ROWS = T.StructType.fromDDL("id bigint, grammar_id bigint, sentence string, lang string, sort_order int")
-EXCLUDED = T.StructType.fromDDL("id bigint, grammar_id bigint, sentence string, reason string")
+
+def _schema(columns: str) -> T.StructType:
+    kinds = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "timestamp": T.TimestampType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in map(str.split, columns.split(", "))])
+
+
+GRAMMARS = _schema("id bigint, rule_name string, levels string, name string, description string, connection string, pattern string, source string, source_url string, created_at timestamp, updated_at timestamp")
+EXAMPLE_ROWS = _schema("id bigint, grammar_id bigint, sentence string, lang string, sort_order int")
+EXCLUDED = _schema("id bigint, grammar_id bigint, sentence string, reason string")
 
 
 def with_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
