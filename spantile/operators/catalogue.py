@@ -59,8 +59,8 @@ def title_of(html: Column) -> Column:
 def level_of(text: Column) -> Column:
     """N1 to N5 by the most telling mark."""
     low = half_width_digits(text)
-    marks = [F.regexp_extract(low, p, 1) for p in (r"【\s*(N[1-5])文法】", r"JLPT\s*(N[1-5])", r"(N[1-5])")]
-    return F.coalesce(*[F.when(m != "", m) for m in marks])
+    marks = [F.concat(F.lit("N"), F.nullif(F.regexp_extract(low, p, 1), F.lit(""))) for p in (r"【Ｎ([0-9])文法】", r"(?i)JLPT\s*N([1-5])", r"N([1-5])")]
+    return F.coalesce(*marks)
 
 
 def sections(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -100,7 +100,8 @@ class Plan:
         found = self.tokens.withColumns(marks).where(reduce(Column.__and__, conditions))
         return found.select(*self.keys, F.col("idx").alias("s"), (F.col("idx") + len(items)).alias("e"))
 
-    def sequence(self, items: list) -> DataFrame:
+    def sequence(self, items: list, last: bool = False) -> DataFrame:
+        """last: nothing follows, so of several ends the longest will do."""
         out, gap = None, None
         while items:
             n = next((i for i, x in enumerate(items) if not isinstance(x, Token | Any)), len(items))
@@ -122,8 +123,10 @@ class Plan:
         if gap is None:
             return out
         left = out if out is not None else self.everywhere()
-        # of an open end, the last place is the longest; the others never matter
-        return left.join(self.sizes(), self.keys).where(F.col("e") + gap <= F.col("n")).select(*self.keys, "s", F.col("n").alias("e")).distinct()
+        open_ = left.join(self.sizes(), self.keys).where(F.col("e") + gap <= F.col("n"))
+        # of an open end, the last place is the longest; the others matter where something may follow
+        ends = F.col("n") if last else F.explode(F.sequence(F.col("e") + gap, F.col("n")))
+        return open_.select(*self.keys, "s", ends.alias("e")).distinct()
 
     def longest(self, node) -> DataFrame:
         """For each start its longest end."""
@@ -139,7 +142,7 @@ class Plan:
             runs = self.runs(last.item).withColumnRenamed("s", "e")
             held = left.join(runs, [*self.keys, "e"], "left" if last.sign == "*" else "inner")
             return held.groupBy(*self.keys, "s").agg(F.max(F.coalesce("end", "e")).alias("e")).where("e > s")
-        found = self.relation(node)
+        found = self.sequence(list(node.items), last=True) if isinstance(node, Sequence) and node.items else self.relation(node)
         return found.where("e > s").groupBy(*self.keys, "s").agg(F.max("e").alias("e"))
 
     def find(self, rule: Rule) -> DataFrame:

@@ -343,7 +343,7 @@ class _Parser:
         if self.kind == "name":
             return self.tagged()
         if (text := self.text("string", "regex", "~")) is not None:
-            return Token(surface=text)
+            return Token(surface=text, base=self.base() if self.kind == "@" else None)
         if self.kind == "@":
             if (back := self.back()) is not None:
                 return Token(back=back)

@@ -6,7 +6,9 @@ import gzip
 import io
 import os
 import struct
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +89,14 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 
 def compile_lexicon(spark: SparkSession, paths: str | list[str], out: str, charset: str = "UTF-8") -> None:
     """CSV lexicons (surface, left, right, cost, then the feature's fields) as a typed table."""
-    lines = spark.read.option("encoding", charset).text(paths) if charset.upper() == "UTF-8" else spark.read.option("encoding", charset).option("sep", "\x01").csv(paths).toDF("value")
+
+    def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                yield pd.DataFrame({"value": bytes(data).decode(charset).splitlines()})
+
+    # a lexicon is a few files of some megabytes, in charsets that the JVM's readers may not take
+    lines = spark.read.format("binaryFile").load(paths).select("content").mapInPandas(lines_of, "value string")
     cells = F.split("value", ",", 5)
     rows = lines.where(F.trim("value") != "").select(F.get(cells, 0).alias("surface"), *[F.get(cells, i).cast("int").alias(n) for i, n in ((1, "left_id"), (2, "right_id"), (3, "cost"))], F.get(cells, 4).alias("feature"))
     rows.write.mode("overwrite").parquet(out)

@@ -122,7 +122,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def decoded_rules(raw: DataFrame) -> DataFrame:
     """Decoded rule rows; those without a name go."""
-    none = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    none = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.col(c))
     title, said = none("name"), none("description")
     return raw.where(F.coalesce("rule_name", F.lit("")) != "").select(
         F.col("rule_name").alias("name"),
