@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,14 @@ def small_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame
     values = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in rows)
     casts = [f"CAST(`{name}` AS {kind}) AS `{name}`" for name, kind in map(str.split, parts)]
     return spark.sql(f"SELECT {', '.join(casts)} FROM VALUES {values} AS t({', '.join(f'`{p.split()[0]}`' for p in parts)})")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder: compressed, and read again by column.  It goes when the driver ends."""
+    spark = df.sparkSession
+    shared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.parquet(path)

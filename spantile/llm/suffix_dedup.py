@@ -36,8 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, documents, partitions
-from .jaccard_join import written
+from .common import arrow_batches, documents, partitions, written
 
 LENGTH = 200
 #: Inner strings of which each string of LENGTH bytes picks one.
