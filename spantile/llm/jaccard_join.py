@@ -9,10 +9,11 @@ n - ceil(PERCENT n / 100) + 1 rarest ones, of which two linked sets share one at
 which subsets stop being cheaper, by the numbers of keys that all documents of each size would make.  Rarity comes from
 counters over the shingles of all documents; it decides what is fast, not what is found.
 
-Lists are worked off in rounds: the members of a list are verified against pivots, what links is joined into
-components, lists that lie in one component are done, and pivots that met all members leave.  So a group of near copies
-costs about one verified pair for each member, and still every pair of different components that shares a list is met.
-An odd sketch, whose distance never exceeds that of the sets, spares most of the pairs that do not link the exact check.
+Lists are worked off in two rounds.  First each set is verified against one pivot, the smallest set of the lists that it
+shares most of; what links is joined into components, and lists that lie in one component are done.  So a group of near
+copies costs about one verified pair for each member.  Then the lists that are left are scanned: their members' odd
+sketches, whose distance never exceeds that of the sets, are compared, and only pairs of different components that may
+link by them are verified.  Each set's nearest partners go first, and what they join need not be met again.  Every pair of different components that shares a list is met; none is made a row before.
 
 Defined cases: null and empty texts have no shingles and link with nothing (component_id is the doc_id); fewer words
 than K make one shingle; rows that repeat give their result as often; a null doc_id is never the smallest of a component
@@ -21,9 +22,8 @@ that has another.  Shingles and sets are compared by 64-bit hashes.  Other colum
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, cut, documents, shared, whole
+from .common import arrow_batches, cut, documents, whole, written
 
 K, PERCENT = 4, 85
 #: Largest size for which subsets are considered at all.
@@ -45,32 +45,67 @@ COUNTERS = 1 << 20
 #: Lists that may be longer than this, by the counters, are not sorted in one task.
 LONG_LIST = 50_000
 SKETCH = 1024
-REMEMBERED = 400_000
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def shingles(text: str | None, hashes: Hashes, k: int = K) -> np.ndarray:
-    """The sorted distinct hashes of all runs of k words; of all words if they are fewer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(words) < k:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = len(h) - k + 1
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(k):
-        out = (out ^ h[i : i + n]) * _FACTOR
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+#: Members of a list that are compared with each other at once.
+LIST_BLOCK = 2_000
+PAIRS_AT_ONCE = 200_000
+#: Scans: one list of so many, and which of a set's partners that may link, from the nearest on; the last takes all that are left.
+ROUNDS = ((8, (0, 1)), (1, (0, 3)), (1, (3, None)))
+#: Bytes of text that are hashed at once.
+AT_ONCE = 1 << 19
+_BASE, _FACTOR = 0xC2B2AE3D27D4EB4F, np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        a = np.full(n, b, dtype=np.uint64)
+        a[0] = 1
+        out.append(np.multiply.accumulate(a))
+    return out[0], out[1]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _FACTOR
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of each text, and the text it is from.  Words are what white space leaves, A-Z lower-cased."""
+    data = np.frombuffer(b" ".join([*texts, b""]).lower(), dtype=np.uint8)
+    space = np.concatenate(([True], (data == 32) | (data >= 9) & (data <= 13)))
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    power, back = _powers(1 << max(16, len(data).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    return _mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), np.searchsorted(begins, start, side="right") - 1
+
+
+def shingle_sets(texts: list[str | None], k: int = K) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of all runs of k words; of all words if they are fewer."""
+    out, part, held = [], [], 0
+    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    for i, t in enumerate(coded):
+        part.append(t)
+        held += len(t)
+        if held >= AT_ONCE or i == len(coded) - 1:
+            h, of = word_hashes(part)
+            ends = np.searchsorted(of, np.arange(len(part) + 1))
+            runs = np.zeros(max(0, len(h) - k + 1), dtype=np.uint64)
+            for j in range(k):
+                runs = _mixed(runs ^ h[j : j + len(runs)])
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if b - a >= k:
+                    out.append(np.unique(runs[a : b - k + 1]))
+                else:
+                    few = np.full(1, b - a, dtype=np.uint64)
+                    for x in h[a:b]:
+                        few = _mixed(few ^ x)
+                    out.append(few[: b > a])
+            part, held = [], 0
+    return out
 
 
 def links(both: int, n: int, m: int, percent: int) -> bool:
@@ -108,10 +143,9 @@ def counted(docs: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
     """Counters of all shingles by hash, as powers of two, and how many documents have each small size."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, sizes = Hashes(), np.zeros(COUNTERS, dtype=np.int64), np.zeros(LIGHT_MOST + 1, dtype=np.int64)
+        held, sizes = np.zeros(COUNTERS, dtype=np.int64), np.zeros(LIGHT_MOST + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"].array:
-                found = shingles(text if isinstance(text, str) else "", hashes, k)
+            for found in shingle_sets(batch["text"].tolist(), k):
                 np.add.at(held, (found >> np.uint64(44)).astype(np.int64), 1)
                 if len(found) <= LIGHT_MOST:
                     sizes[len(found)] += 1
@@ -137,15 +171,18 @@ def _sketch(found: np.ndarray) -> list[int]:
 
 
 def sets(docs: DataFrame, counters: np.ndarray, light: int, k: int, percent: int) -> DataFrame:
-    """doc_id, n, kid (the set's hash), sketch, heavy and long keys (prefix shingles), light keys and their small sizes."""
+    """doc_id, row (the text's hash), n, kid (the set's hash), sketch, heavy and long keys (prefix shingles), light keys and their small sizes."""
     handed = docs.sparkSession.sparkContext.broadcast(counters)
     hot = int(np.ceil(8 * np.log2(1 + LONG_LIST)))
 
-    def one(text: str, hashes: Hashes, weight: np.ndarray) -> tuple:
-        found = shingles(text, hashes, k)
+    def one(found: np.ndarray, weight: np.ndarray, met: set[int]) -> tuple:
         n = len(found)
         if not n:
             return 0, None, None, [], [], [], []
+        kid = xxhash.xxh64_intdigest(found.tobytes())
+        if kid in met:
+            return n, kid, None, [], [], [], []
+        met.add(kid)
         heavy = long = found[:0]
         keys, small = [], []
         if n <= light:
@@ -160,27 +197,19 @@ def sets(docs: DataFrame, counters: np.ndarray, light: int, k: int, percent: int
             rarity = weight[(found >> np.uint64(44)).astype(np.int64)]
             first = np.lexsort((found, rarity))[: prefix(n, percent)]
             heavy, long = found[first[rarity[first] < hot]], found[first[rarity[first] >= hot]]
-        return n, xxhash.xxh64_intdigest(found.tobytes()), _sketch(found), heavy.view(np.int64), long.view(np.int64), np.array(keys, dtype=np.uint64).view(np.int64), small
+        return n, kid, _sketch(found), heavy.view(np.int64), long.view(np.int64), np.array(keys, dtype=np.uint64).view(np.int64), small
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, weight = Hashes(), handed.value
+        # copies within a task make their keys once
+        weight, met = handed.value, set()
         for batch in batches:
-            rows = [one(text if isinstance(text, str) else "", hashes, weight) for text in batch["text"].array]
+            rows = [one(found, weight, met) for found in shingle_sets(batch["text"].tolist(), k)]
             kid = pd.array([None if r[1] is None else r[1] - (1 << 64) if r[1] >> 63 else r[1] for r in rows], dtype="Int64")
             out = pd.DataFrame([(r[0], *r[2:]) for r in rows], columns=["n", "sketch", "heavy", "long", "light", "small"])
-            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), kid=kid)
+            yield out.assign(row=batch["row"], doc_id=batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), kid=kid)
 
-    schema = "n long, kid long, sketch array<long>, heavy array<long>, long array<long>, light array<long>, small array<int>, doc_id long"
-    return docs.select("doc_id", "text").mapInPandas(make, schema)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """A table in the shared folder: compressed, and read again by column."""
-    spark = df.sparkSession
-    shared(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    schema = "n long, kid long, sketch array<long>, heavy array<long>, long array<long>, light array<long>, small array<int>, row long, doc_id long"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInPandas(make, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,25 +229,28 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of sets that link."""
+def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) of sets that link.  owners: for each set a document (doc_id, row) that has it."""
     one = sketches.select(F.col("kid").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a"))
     two = sketches.select(F.col("kid").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"))
     near = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     likely = pairs.join(one, "a").join(two, "b").where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-    likely = likely.where(near * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
+    likely = written(likely.where(near * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b"))
+    wanted = owners.join(likely.select(F.col("a").alias("kid")).union(likely.select("b")).distinct(), "kid", "left_semi")
+    wanted = wanted.select("kid", F.col("doc_id").alias("of"), F.col("row").alias("at"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("at")))
+    texts = written(texts.select("kid", "text"))
     held = likely.join(texts.select(F.col("kid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("kid").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, known = Hashes(), None, None
         for batch in batches:
+            firsts = shingle_sets(batch["text_a"].tolist(), k)
+            others = dict(zip(batch["b"], batch["text_b"], strict=True))
+            others = dict(zip(others, shingle_sets(list(others.values()), k), strict=True))
             keep = []
-            for r in batch.itertuples(index=False):
-                if r.b != last:
-                    last, known = r.b, shingles(r.text_b, hashes, k)
-                own = shingles(r.text_a, hashes, k)
-                both = len(np.intersect1d(own, known, assume_unique=True))
-                keep.append(links(both, len(own), len(known), percent))
+            for own, b in zip(firsts, batch["b"], strict=True):
+                both = len(np.intersect1d(own, others[b], assume_unique=True))
+                keep.append(links(both, len(own), len(others[b]), percent))
             yield batch.loc[keep, ["a", "b"]]
 
     return held.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
@@ -229,7 +261,8 @@ def set_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     counters, sizes = counted(docs, k)
     light = boundary(sizes, percent)
     rows = written(sets(docs, counters, light, k, percent))
-    distinct = rows.where("n > 0").groupBy("kid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    distinct = rows.where("n > 0").groupBy("kid").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "row")).alias("one"))
+    owners = distinct.select("kid", "one.doc_id", "one.row")
 
     # light sets: a shared subset is a link
     subsets = rows.where(F.size("light") > 0).select("kid", "n", F.explode(F.arrays_zip("light", "small")).alias("x")).select("kid", "n", F.col("x.light").alias("key"), F.col("x.small").alias("small")).distinct()
@@ -246,45 +279,95 @@ def set_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     held = written(short.unionByName(lists("long").distinct().join(ends, "key").select("key", "kid", "low")))
 
     members = held.select("kid").distinct()
-    sketches = written(rows.where("n > 0").select("kid", "n", "sketch").join(members, "kid", "left_semi").dropDuplicates(["kid"]))
-    wanted = distinct.select("kid", "doc_id").join(members, "kid", "left_semi")
-    texts = docs.join(wanted, "doc_id").withColumn("kid_of", F.col("kid"))
-    texts = written(_texts(texts, k))
+    sketches = written(rows.where("sketch IS NOT NULL").select("kid", "n", "sketch").join(members, "kid", "left_semi").dropDuplicates(["kid"]))
 
     # first round: each set with the pivot that it shares most keys with
     shared_keys = held.where("kid <> low").groupBy("kid", "low").agg(F.count(F.lit(1)).alias("shared"))
     pairs = shared_keys.groupBy("kid").agg(F.max_by("low", F.struct("shared", "low")).alias("b")).select(F.col("kid").alias("a"), "b")
-    found.append(_verified(pairs, texts, sketches, k, percent))
+    found.append(_verified(pairs, docs, owners, sketches, k, percent))
     edges = cut(reduce(DataFrame.unionByName, found))
     parts = components(edges)
-    left, step = held.select("key", "kid"), 1
-    while True:
-        placed = left.join(parts.select(F.col("node").alias("kid"), "component"), "kid", "left").select("key", "kid", F.coalesce("component", "kid").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        open_ = written(placed.join(mixed, "key", "left_semi"))
-        if open_.isEmpty():
-            return rows.select("doc_id", "n", "kid"), parts
-        ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("kid", "key"), "kid")))
-        pivots = ranked.where(F.col("rank") <= step).select("key", F.col("kid").alias("b"), F.col("component").alias("other"))
-        pairs = open_.join(pivots, "key").where("component <> other").select(F.greatest("kid", "b").alias("a"), F.least("kid", "b").alias("b")).distinct()
-        more = cut(_verified(pairs, texts, sketches, k, percent))
-        left, step = ranked.where(F.col("rank") > step).select("key", "kid"), step * 4
-        left = written(left)
-        if not more.isEmpty():
-            edges = cut(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-            parts = components(edges)
-
-
-def _texts(texts: DataFrame, k: int) -> DataFrame:
-    """One text for each set: rows may share a doc_id, so the set is made sure of."""
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
+    # then the lists that lie in several components are scanned: first for each set's nearest partner, which joins most
+    met = None
+    for share, ranks in ROUNDS:
+        lists_now = held.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
+        placed = lists_now.select("key", "kid").join(parts.select(F.col("node").alias("kid"), "component"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
+        pairs = _scanned(placed.join(mixed, "key").join(sketches, "kid"), percent, ranks).distinct()
+        now = written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
+        met = now if met is None else met.unionByName(now)
+        more = None if now.isEmpty() else cut(_verified(now, docs, owners, sketches, k, percent))
+        if more is None or more.isEmpty():
+            continue
+        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return rows.select("doc_id", "n", "kid"), parts
+
+
+def _scanned(lists: DataFrame, percent: int, ranks: tuple[int, int | None]) -> DataFrame:
+    """Pairs (a, b) of a list's members of different components whose sizes and sketches leave a link possible.
+
+    lists: key, size (of the list), kid, component, n, sketch.  A long list is cut into blocks, and each pair of blocks is
+    a group of its own, so that no task holds more than two blocks.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / LIST_BLOCK)).cast("int")
+    dealt = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("kid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "kid", "component", "n", "sketch")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = None
         for batch in batches:
-            keep = [np.int64(np.uint64(xxhash.xxh64_intdigest(shingles(t, hashes, k).tobytes())).view(np.int64)) == kid for t, kid in zip(batch["text"], batch["kid"], strict=True)]
-            yield batch.loc[keep, ["kid", "text"]]
-
-    return texts.select("kid", "text").mapInPandas(own, "kid long, text string").dropDuplicates(["kid"])
+            rows = batch if carry is None else pd.concat((carry, batch), ignore_index=True)
+            own = rows[["key", "low", "high"]].to_numpy()
+            # the last list may go on in the next batch
+            last = int(np.flatnonzero((own != own[-1]).any(1))[-1] + 1) if (own != own[-1]).any() else 0
+            carry = rows.iloc[last:]
+            if last:
+                yield _near(rows.iloc[:last], percent, ranks)
+        if carry is not None and len(carry):
+            yield _near(carry, percent, ranks)
+
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "kid").mapInPandas(scan, "a long, b long")
+
+
+def _near(rows: pd.DataFrame, percent: int, ranks: tuple[int, int | None]) -> pd.DataFrame:
+    """Pairs of whole lists, which stand one after the other.
+
+    ranks: which of the partners after it in the list each member gives, from the nearest on, whatever their components;
+    so all rounds together give every pair whose members are of different components when its turn comes.
+    """
+    lists = rows[["key", "low", "high"]].to_numpy()
+    n, component, kid, own = (rows[c].to_numpy() for c in ("n", "component", "kid", "own"))
+    across = (rows["low"] != rows["high"]).to_numpy()
+    sketch = np.array(rows["sketch"].tolist(), dtype=np.int64).view(np.uint64)
+    begins = np.flatnonzero(np.concatenate(([True], (lists[1:] != lists[:-1]).any(1))))
+    size = np.diff(np.append(begins, len(rows)))
+    more = np.repeat(begins + size, size) - np.arange(len(rows)) - 1
+    ends = np.cumsum(more)
+    out, at = [], 0
+    while at < len(rows):
+        # so many rows that their pairs with what follows in their lists are at most PAIRS_AT_ONCE, but one row at least
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        i = np.repeat(np.arange(at, to), more[at:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[at:to]) - more[at:to], more[at:to])
+        keep = (n[i] * 100 >= n[j] * percent) & (n[j] * 100 >= n[i] * percent) & (~across[i] | (own[i] != own[j]))
+        i, j = i[keep], j[keep]
+        apart = np.zeros(len(i), dtype=np.int64)
+        for k in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[i, k] ^ sketch[j, k])
+        near = apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+        i, j, apart = i[near], j[near], apart[near]
+        order = np.lexsort((kid[j], apart, i))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, np.int64)
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+        given = (component[i] != component[j]) & (rank >= ranks[0]) & (rank < (ranks[1] or len(i) + 1))
+        i, j = i[given], j[given]
+        pairs = np.stack((np.maximum(kid[i], kid[j]), np.minimum(kid[i], kid[j])), 1)
+        out.append(np.unique(pairs, axis=0))
+        at = to
+    found = np.concatenate(out)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
