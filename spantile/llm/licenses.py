@@ -4,7 +4,8 @@ All rolling hashes of K neighbouring words of a document meet, in a Spark join,
 the same K words.  Each meeting votes for the diagonal (place in the document less place in the template).  Votes are
 counted by diagonal, neighbouring diagonals are merged (words were put in or left out), and each merged span whose votes
 could carry the template is verified word by word against the text.  A template is found where its words, in order, make
-up COVERAGE of it at least, or all of it if it is short.  Beside that, ``PHRASES`` are looked for as they stand.
+up COVERAGE of it at least, or all of it if it is short.  Beside that, phrases are looked for as they stand: the query
+takes those of the contract, CONTRACT; ``scan`` takes PHRASES unless told otherwise.  Labels of SHORT alone are no places.
 
 The templates are a parameter and go to every task; their number of words is checked.  Defined cases: a null or empty
 text has no words and no labels; rows that repeat give their result as often; an empty table gives an empty result.
@@ -35,8 +36,11 @@ NEAR = 4
 MOST_WORDS = 1_000_000
 REMEMBERED = 400_000
 
-# The phrases and labels of the contract.
+# Phrases and labels of a scan by default, and those of the contract.
 PHRASES = (("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+CONTRACT = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+#: Too short for a place or a score, yet a label of the method.
+SHORT = (("mit license", "mit"),)
 
 # Public license notices and the opening clauses of public licenses.
 TEMPLATES = (
@@ -85,10 +89,10 @@ def rolling(words: list[bytes], hashes: Hashes, k: int = K) -> np.ndarray:
     return out.view(np.int64)
 
 
-def base_places(words: list[bytes], text: bytes) -> tuple[list[int], set[str]]:
+def base_places(words: list[bytes], text: bytes, phrases: tuple[tuple[str, str], ...] = PHRASES) -> tuple[list[int], set[str]]:
     """Where the phrases stand, and their labels.  text: the words, each with a blank before and after."""
     places, labels = [], set()
-    for phrase, label in PHRASES:
+    for phrase, label in phrases:
         asked, at = f" {phrase} ".encode(), text.find(f" {phrase} ".encode())
         while at >= 0:
             places.append(text.count(b" ", 0, at))
@@ -97,20 +101,22 @@ def base_places(words: list[bytes], text: bytes) -> tuple[list[int], set[str]]:
     return places, labels
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_words, n_base, first_word, last_word, base_labels of each row of docs (doc_id, text, row)."""
+def base(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
+    """doc_id, row, n_words, n_base, first_word, last_word, base_labels, short_labels of each row of docs (doc_id, text, row)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, text, row in zip(batch["doc_id"].array, batch["text"].array, batch["row"].array, strict=True):
                 words = words_of(text)
-                places, labels = base_places(words, b" " + b" ".join(words) + b" ")
-                rows.append((doc_id, row, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))))
-            out = pd.DataFrame(rows, columns=["doc_id", "row", "n_words", "n_base", "first_word", "last_word", "base_labels"])
+                joined = b" " + b" ".join(words) + b" "
+                places, labels = base_places(words, joined, phrases)
+                short = base_places(words, joined, SHORT)[1]
+                rows.append((doc_id, row, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(short))))
+            out = pd.DataFrame(rows, columns=["doc_id", "row", "n_words", "n_base", "first_word", "last_word", "base_labels", "short_labels"])
             yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 
-    return docs.mapInPandas(count, "doc_id long, row long, n_words long, n_base long, first_word long, last_word long, base_labels string")
+    return docs.mapInPandas(count, "doc_id long, row long, n_words long, n_base long, first_word long, last_word long, base_labels string, short_labels string")
 
 
 def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k: int = K, coverage: float = COVERAGE) -> DataFrame:
@@ -157,17 +163,17 @@ def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k
     return asked.mapInPandas(verify, "doc_id long, row long, label string, template int, first_word long, last_word long, score double")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
     """One row for each document: what ``base`` has, labels and score."""
     docs = docs.select("doc_id", whole(F.col("text")).alias("text")).withColumn("row", F.xxhash64("text"))
     found = spans(docs).groupBy(F.col("doc_id").alias("of"), F.col("row").alias("at")).agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
-    out = base(docs).join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("at")), "left")
-    base_labels = F.filter(F.split("base_labels", ","), lambda x: x != "")
-    labels = F.array_join(F.array_sort(F.array_union(base_labels, F.coalesce("found", F.array().cast("array<string>")))), ",")
+    out = base(docs, phrases).join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("at")), "left")
+    named = F.filter(F.split(F.concat_ws(",", "base_labels", "short_labels"), ","), lambda x: x != "")
+    labels = F.array_join(F.array_sort(F.array_union(named, F.coalesce("found", F.array().cast("array<string>")))), ",")
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), score.alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark, 256)
-    return scan(documents(spark, sf_dir))
+    return scan(documents(spark, sf_dir), CONTRACT)

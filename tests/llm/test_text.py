@@ -204,6 +204,14 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == docs.count()
 
 
+def test_licenses_of_the_contract(spark, tmp_path):
+    texts = {1: "Under the MIT License. And mit license", 2: "MIT License", 3: "x y, under the MIT license; under the mit license"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in licenses.query(spark, str(tmp_path)).collect()}
+    places = {i: (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for i, r in got.items()}
+    assert places == {1: (1, 0, 0, "mit", "mit", 1.0), 2: (0, None, None, "", "mit", 0.0), 3: (2, 2, 6, "mit", "mit", 1.0)}
+
+
 def edits(item, text):
     before = [0] * (len(text) + 1)
     for i, x in enumerate(item):
