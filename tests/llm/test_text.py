@@ -178,6 +178,55 @@ def test_lm_gradients():
         assert abs((up - down) / (2 * eps) - grad[name][at]) < 2e-2 * max(1, abs(grad[name][at]))
 
 
+def test_lm_attends_far_back():
+    """An id 500 places before counts, one of another text does not; and the spans' gradients are right."""
+    rng = np.random.default_rng(1)
+    par = {"x": rng.normal(size=(9, 4)), **{n: rng.normal(size=(4, 4)) for n in "qkvs"}, "lag": rng.normal(size=lm_scoring.LAGS), "out": rng.normal(size=(4, 5)), "bias": rng.normal(size=5)}
+    rows, of, following, keep = rng.integers(0, 8, 700), np.repeat([0, 1], [100, 600]), rng.integers(0, 5, 700), np.arange(700) > 500
+
+    def state(rows):
+        x = par["x"]
+        return lm_scoring.attend(rows, of, *(x @ par[n] for n in "qkvs"), par["lag"])[0]
+
+    def changed(at):
+        other = rows.copy()
+        other[at] = 8
+        return np.abs(state(other) - state(rows)).max(1)
+
+    assert changed(150)[600] > 0 and changed(150)[661] > 0 and changed(150)[662:].max() < 1e-9 and changed(150)[:150].max() < 1e-9
+    assert changed(90)[100:].max() < 1e-9
+
+    def loss():
+        z = state(rows) @ par["out"] + par["bias"]
+        return float(-((z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(700), following] * keep).sum() / keep.sum())
+
+    grad = lm_scoring._gradients(par, rows, of, following, keep)
+    for name, at in (("x", (3, 1)), ("k", (0, 3)), ("v", (2, 2)), ("q", (1, 2)), ("lag", (lm_scoring.LAGS - 1,))):
+        old, eps = par[name][at], 1e-3
+        par[name][at] = old + eps
+        up = loss()
+        par[name][at] = old - eps
+        down = loss()
+        par[name][at] = old
+        assert abs((up - down) / (2 * eps) - grad[name][at]) < 1e-3
+
+
+def test_lm_context_counts_grow_with_the_corpus(spark, monkeypatch):
+    """What follows what is counted in all training documents, not in the sample, and rates a text by its order of words."""
+    told = []
+    monkeypatch.setattr(lm_scoring, "TRAIN_DOCS", 8)
+    fitted = lm_scoring.fitted
+    monkeypatch.setattr(lm_scoring, "fitted", lambda *a: told.append((a[0].texts, a[6])) or fitted(*a))
+    for n in (40, 80):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("red green blue red green blue").alias("text"))
+        lm_scoring.lm_scores(docs).collect()
+    for n, (texts, follow) in zip((40, 80), told, strict=True):
+        # in each training text 6 words and an end, of one id each at least
+        assert texts == 8 and follow[:, 0].sum() >= 7 * sum(map(lm_scoring.is_training, range(n)))
+        assert follow[lm_scoring.END, 0].sum() == sum(map(lm_scoring.is_training, range(n)))
+    assert told[1][1].sum() > 1.8 * told[0][1].sum()
+
+
 def test_lm_is_a_distribution():
     """The classes' shares of their ids sum to one, and every id has one."""
     counts, opens = np.arange(lm_scoring.IDS) % 7, np.arange(lm_scoring.IDS) % 2 == 0
