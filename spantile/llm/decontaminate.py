@@ -125,8 +125,8 @@ class Items:
                 start = max(0, last + 1 - size - offset - budget)
                 end = min(len(text), last + 1 - size - offset + len(words) + budget)
                 held = stretches.setdefault(at, [])
-                if held and start <= held[-1][1] and end - held[-1][0] <= 3 * len(words):
-                    held[-1][1] = max(end, held[-1][1])
+                if held and start <= held[-1][1] and max(end, held[-1][1]) - min(start, held[-1][0]) <= 3 * len(words):
+                    held[-1] = [min(start, held[-1][0]), max(end, held[-1][1])]
                 else:
                     held.append([start, end])
         found = []

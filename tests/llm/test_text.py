@@ -301,5 +301,19 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.matches(data, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_an_item_that_repeats_itself():
+    """The first intact piece also stands at a shifted place, whose stretch begins too late for the passage."""
+    item = "ha " * 15 + "bcdefg ijklmno"
+    assert len(item) == 59
+    asked = decontaminate.Items([(1, item)])
+    for a in range(0, 24):
+        for b in range(a + 1, 24):
+            text = list(item)
+            text[a], text[b] = "x", "x"
+            text = decontaminate.normal("".join(text))
+            assert edits(item, text) <= 5
+            assert [m[:2] for m in asked.matches(text)] == [(1, edits(item, text))], (a, b)
+
+
 def test_hash_of_texts():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
