@@ -25,6 +25,8 @@ from .common import arrow_batches, documents
 
 WINDOW = 2048
 END_ID = 1
+#: The special token of the vocabulary file; in a text it is one id.
+END_OF_TEXT = "<|endoftext|>"
 #: Documents that are packed together, about.
 GROUP_DOCS = 20_000
 #: Tokens that one row batch of pieces may hold.
@@ -33,12 +35,12 @@ BATCH_TOKENS = 1_000_000
 
 @lru_cache(maxsize=2)
 def encoding(path: str):
-    """The byte-level BPE of a rank file.  Strings of special tokens are ordinary text."""
+    """The byte-level BPE of a rank file, whose end-of-text token follows the last rank.  ``encode_ordinary`` reads it as text."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
 
 
 def cut_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, ranks: str | None = None) -> DataFrame:
@@ -50,7 +52,7 @@ def cut_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, r
         rows, held = [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                ids = np.array([*coder.encode_ordinary(text if isinstance(text, str) else ""), end_id], dtype="<u4")
+                ids = np.array([*coder.encode(text if isinstance(text, str) else "", allowed_special="all"), end_id], dtype="<u4")
                 rows += [(doc_id, at, min(window, len(ids) - at), len(ids), ids[at : at + window].tobytes()) for at in range(0, len(ids), window)]
                 held += len(ids)
                 if held >= BATCH_TOKENS:

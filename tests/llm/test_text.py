@@ -66,6 +66,15 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_reads_the_special_token_as_the_library_does(spark):
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|><|endoftext|>\n", "x <|endoftext|>  y", "<|endoftext|", "it's  <|endoftext|>'s"]
+    got = {r.doc_id: r.ids for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert np.frombuffer(got[i], "<u4").tolist() == [*coder.encode(text, add_special_tokens=False).ids, packing.END_ID]
+    assert 50256 in np.frombuffer(got[0], "<u4")
+
+
 def test_best_fit_is_tightest():
     rnd = random.Random(4)
     lengths = sorted((rnd.randint(1, 50) for _ in range(300)), reverse=True)
