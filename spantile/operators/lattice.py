@@ -72,6 +72,8 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.theta = float(np.float32(self.theta))
+        if self.partial or self.theta != 0.75:
+            raise ValueError("partial tokenizing and theta are not implemented: only their defaults are taken")
         self.by_surface: dict[str, list[Entry]] = {}
         for e in self.entries:
             self.by_surface.setdefault(e.surface, []).append(e)

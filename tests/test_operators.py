@@ -194,3 +194,9 @@ def test_consumers(spark):
     assert row.select(consumers.fixed_surfaces(F.slice("t", 2, 2), F.array(F.lit(2)), F.lit(1))).first()[0] == ["z"]
     shown = spark.createDataFrame([("ja:a;zh:b;en:c|ja:d",)], "t string").select(consumers.preview(rules.decoded_examples(F.col("t")))).first()[0]
     assert shown == ["a  b / c", "d"]
+
+
+@pytest.mark.parametrize("option", [{"partial": True}, {"theta": 0.5}])
+def test_lattice_options_that_do_nothing_are_refused(option):
+    with pytest.raises(ValueError):
+        lattice.Lexicon([], **option)
