@@ -2,8 +2,9 @@
 
 The exact side is a table of references, one row for each (line key, document).  From it follow each key's number of
 documents and the largest document that holds it.  For keys that reach the limit, each shard keeps a cuckoo filter;
-a line asks its shard's filter first, and only what the filter lets through meets the exact table in a join.  Filters
-support deletion, so that ``delete`` takes back what ``insert`` added.
+a line asks its shard's filter first, and only what the filter lets through meets the exact table in a join.
+``insert`` and ``delete`` change the references, then count the whole corpus again and build every filter anew; the
+filters' own deletion is not used for that.
 
 Defined cases: a null or empty text is one empty line; a null doc_id counts as one document and never is the largest;
 rows that repeat give their result as often; lines shorter than the limit always stay; an empty table gives an empty
