@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +30,11 @@ def arrow_batches(spark: SparkSession, rows: int) -> None:
 
 
 def shared(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster names the folder; where it names none (tests), a local one serves."""
+    """Makes checkpoint() usable: the cluster names the folder; in local mode, where one machine runs all, a local one serves."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spantile-checkpoint-"))
 
 
@@ -50,6 +57,34 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+#: Lots in which the shares of a part are added up before the lots are.
+LOTS = 32
+
+
+def summed(shares: DataFrame, kind: str) -> DataFrame:
+    """One row for each ``part``: the sum of its arrays ``held`` (compressed, of the numpy type ``kind``, equally long).
+
+    Shares are added as they stream by, in LOTS for each part and then the lots, so a task holds one sum for each of its
+    parts however many tasks have sent shares.
+    """
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze, total = zstandard.ZstdCompressor(level=1), {}
+        for batch in batches:
+            for part, held in zip(batch["part"].tolist(), batch["held"], strict=True):
+                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(held)), dtype=kind)
+                if part in total:
+                    total[part] += x
+                else:
+                    total[part] = x.copy()
+        for part, x in total.items():
+            yield pd.DataFrame({"part": [part], "held": [squeeze.compress(x.tobytes())]})
+
+    dealt = shares.select("part", "held", F.pmod(F.xxhash64("held"), F.lit(LOTS)).alias("lot")).repartition("part", "lot")
+    lots = dealt.select("part", "held").mapInPandas(add, "part int, held binary")
+    return lots.repartition("part").mapInPandas(add, "part int, held binary")
+
+
 def small_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """Rows of numbers, of a bounded count, that the JVM holds without any Python worker."""
     parts = names.split(", ")
