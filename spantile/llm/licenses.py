@@ -4,8 +4,8 @@ All rolling hashes of K neighbouring words of a document meet, in a Spark join,
 the same K words.  Each meeting votes for the diagonal (place in the document less place in the template).  Votes are
 counted by diagonal, neighbouring diagonals are merged (words were put in or left out), and each merged span whose votes
 could carry the template is verified word by word against the text.  A template is found where its words, in order, make
-up COVERAGE of it at least, or all of it if it is short.  Beside that, phrases are looked for as they stand: the query
-takes those of the contract, CONTRACT; ``scan`` takes PHRASES unless told otherwise.  Labels of SHORT alone are no places.
+up COVERAGE of it at least, or all of it if it is short.  A document's spans are verified together, so that its text
+goes to a worker once.  Beside that, phrases are looked for as they stand.  Labels of SHORT alone are no places.
 
 The templates are a parameter and go to every task; their number of words is checked.  Defined cases: a null or empty
 text has no words and no labels; rows that repeat give their result as often; an empty table gives an empty result.
@@ -36,9 +36,8 @@ NEAR = 4
 MOST_WORDS = 1_000_000
 REMEMBERED = 400_000
 
-# Phrases and labels of a scan by default, and those of the contract.
-PHRASES = (("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-CONTRACT = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+# Phrases and labels.
+PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Too short for a place or a score, yet a label of the method.
 SHORT = (("mit license", "mit"),)
 
@@ -145,19 +144,23 @@ def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k
     # each word that is changed, added or left out costs k votes at most
     size = F.element_at(sizes, F.col("template") + 1)
     likely = merged.where(F.col("votes") >= F.greatest(F.lit(1), size - k + 1 - k * F.ceil(size * (1 - coverage)))).select(F.col("doc_id").alias("of"), F.col("row").alias("at"), "template", "low", "high")
-    asked = docs.join(likely, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("at"))).select("doc_id", "row", "text", "template", "low", "high").distinct()
+    # a document's spans are as many as its words allow; its text is sent and cut into words once
+    grouped = likely.groupBy("of", "at").agg(F.collect_set(F.struct("template", "low", "high")).alias("asked"))
+    asked = docs.dropDuplicates(["doc_id", "row"]).join(grouped, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("at"))).select("doc_id", "row", "text", "asked")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                label, wanted = held[r.template]
-                words = words_of(r.text)
-                low, high = max(0, r.low - len(wanted)), min(len(words), r.high + len(wanted))
-                blocks = [b for b in difflib.SequenceMatcher(None, words[low:high], wanted, autojunk=False).get_matching_blocks() if b.size]
-                score = sum(b.size for b in blocks) / len(wanted)
-                if score >= (coverage if len(wanted) >= WHOLE_BELOW else 1):
-                    rows.append((r.doc_id, r.row, label, r.template, low + blocks[0].a, low + blocks[-1].a + blocks[-1].size - 1, score))
+            for doc_id, row, text, spans in zip(batch["doc_id"].array, batch["row"].array, batch["text"].array, batch["asked"].array, strict=True):
+                words = words_of(text)
+                for span in spans:
+                    template, first, last = span["template"], span["low"], span["high"]
+                    label, wanted = held[template]
+                    low, high = max(0, first - len(wanted)), min(len(words), last + len(wanted))
+                    blocks = [b for b in difflib.SequenceMatcher(None, words[low:high], wanted, autojunk=False).get_matching_blocks() if b.size]
+                    score = sum(b.size for b in blocks) / len(wanted)
+                    if score >= (coverage if len(wanted) >= WHOLE_BELOW else 1):
+                        rows.append((doc_id, row, label, template, low + blocks[0].a, low + blocks[-1].a + blocks[-1].size - 1, score))
             yield pd.DataFrame(rows, columns=["doc_id", "row", "label", "template", "first_word", "last_word", "score"]).astype({"doc_id": "Int64"})
 
     return asked.mapInPandas(verify, "doc_id long, row long, label string, template int, first_word long, last_word long, score double")
@@ -176,4 +179,4 @@ def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES) -> Dat
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark, 256)
-    return scan(documents(spark, sf_dir), CONTRACT)
+    return scan(documents(spark, sf_dir))
