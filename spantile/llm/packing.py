@@ -6,7 +6,8 @@ each group by itself: the pieces go by falling length, each into the open window
 A group leaves at most a window or so of padding more than one packing of everything would.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat are packed as often; an empty table gives no
-pieces.  Columns besides those that are named here are kept by ``place``.
+pieces.  Columns besides those that are named here are kept by ``place``; one called _group, sequence_id or offset is
+refused.  Pieces that agree in all columns are of one group.
 """
 
 from __future__ import annotations
@@ -121,7 +122,10 @@ def place(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
         group = part.pop("_group").iloc[0]
         return part.assign(sequence_id=np.array(windows, dtype="int64") * groups + group, offset=np.array(offsets, dtype="int64"))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    if {"_group", "sequence_id", "offset"} & set(pieces.columns):
+        raise ValueError("pieces have a column _group, sequence_id or offset already")
+    # by all columns that a piece has, so that many documents under one id, or under none, go to many groups
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.groupBy("_group").applyInPandas(pack, f"{schema}, sequence_id long, offset long")
 
