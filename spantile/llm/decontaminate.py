@@ -6,7 +6,8 @@ hit is verified with Myers' bit-parallel edit distance on runs of 2, 4, 8 ... pi
 m neighbouring pieces allow m - 1 edits, for if either half had as many edits as pieces, so would the whole.
 Documents and items are compared with letters lower-cased and everything else but letters and digits as one blank.
 
-The benchmark is a query set, stated against all documents: it is handed to the workers in blocks of bounded size.
+The benchmark is a query set, stated against all documents: it is handed to the workers in broadcast blocks of bounded
+size, each of which the documents pass once; work is documents times blocks, so a benchmark of n blocks costs n scans.
 A passage that many documents hold gives each of them its own row and no pairs of documents.
 
 Defined cases: a null or empty text matches nothing, nor does an item without letters or digits; items with equal words
@@ -150,14 +151,16 @@ class Items:
 
 
 def in_text(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Places in a text of spans of its normal form."""
-    starts, ends, at = [], [], 0
-    for m in WORDS.finditer(text.lower()):
+    """Places in a text of spans of its normal form.  Some letters are several when lower-cased; their places are the letter's."""
+    lower = text.lower()
+    of = range(len(text) + 1) if len(lower) == len(text) else [*(i for i, c in enumerate(text) for _ in c.lower()), len(text)]
+    starts, ends = [], []
+    for m in WORDS.finditer(lower):
         starts += range(m.start(), m.end())
         ends += range(m.start() + 1, m.end() + 1)
         starts.append(m.end())
         ends.append(m.end())
-    return [(starts[a], ends[b - 1]) for a, b in spans]
+    return [(of[starts[a]], of[ends[b - 1] - 1] + 1) for a, b in spans]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -181,8 +184,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 
 def _block(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
+    handed = docs.sparkSession.sparkContext.broadcast(items)
+
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = Items(items, rate)
+        asked = Items(handed.value, rate)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
@@ -194,9 +199,9 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFr
     return docs.select("doc_id", "text").mapInPandas(look, "doc_id long, item_id long, n_edits long, start_char long, end_char long")
 
 
-def _leaks(items: list[tuple[int, str]], rate: float):
+def _leaks(handed, rate: float):
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        asked = Items(items, rate)
+        asked = Items(handed.value, rate)
         for texts in batches:
             yield pd.Series([bool(isinstance(t, str) and asked.matches(normal(t))) for t in texts], dtype="bool")
 
@@ -205,11 +210,13 @@ def _leaks(items: list[tuple[int, str]], rate: float):
 
 
 def holds_any(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` with a column ``leaks``: whether the text holds an item within its budget."""
-    out = docs.withColumn("leaks", F.lit(False))
+    """``docs`` with a column ``leaks``: whether the text holds an item within its budget.  A column of that name must not be there."""
+    if "leaks" in docs.columns:
+        raise ValueError("docs has a column leaks already")
+    leaks = F.lit(False)
     for items in _blocks(benchmark):
-        out = out.withColumn("leaks", F.col("leaks") | _leaks(items, rate)("text"))
-    return out
+        leaks = leaks | _leaks(docs.sparkSession.sparkContext.broadcast(items), rate)("text")
+    return docs.withColumn("leaks", leaks)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
