@@ -412,8 +412,10 @@ def _kept(packed: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
 
 def splitters(docs: DataFrame, ranges: int) -> list[bytes]:
     """Where the sorted order is cut, from a bounded sample of texts."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = docs.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, 1_000).alias("t")).where("length(t) >= 16").collect()
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # an id that repeats gives as many rows as any other
+    heads = docs.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, 1_000).alias("t")).where("length(t) >= 16")
+    rows = heads.distinct().orderBy(F.xxhash64("t"), "t").limit(4 * SAMPLE_DOCS).collect()
     starts = sorted(r["t"].encode()[i : i + 12] for r in rows for i in range(0, len(r["t"].encode()) - 12, 37))
     return sorted({starts[len(starts) * i // ranges] for i in range(1, ranges)}) if starts else []
 
