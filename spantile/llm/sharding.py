@@ -8,6 +8,7 @@ together unless a cut runs through their group, and then a hash of doc_id, so th
 
 Metadata are those of ``lang``, ``source`` and ``n_chars`` that the table has.  Defined cases: a null text has no bytes;
 null metadata are the smallest value; rows that repeat are sharded as often; an empty table gives an empty result.
+Columns besides doc_id, text and the metadata are ignored, whatever their names.
 """
 
 from __future__ import annotations

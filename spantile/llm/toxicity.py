@@ -7,12 +7,13 @@ stretch anew for every training document and moves the vectors and the softmax t
 momentum, scaled for all vectors alike, so that an n-gram of many documents moves more than one that a single document has.  All
 stretches of a text are scored, whatever its length.
 
-Training uses at most MAX_TRAIN labelled documents of each class, those with the smallest hash of doc_id: the bound on
-what the driver holds.  Everything else covers all rows.
+Training uses at most MAX_TRAIN labelled documents of each class, those with the smallest hash of doc_id, and of these so
+many whole texts as MAX_BYTES allows: the bound on what the driver holds.  Everything else covers all rows.
 
 Defined cases: a null or empty text has the score of the bias alone; labels that are null or without a document are left
 out; with no labelled documents of both classes every score is the same and below 0.5; rows that repeat are scored as
-often.  Other columns are never read.
+often, and of several texts under one labelled doc_id one trains; an empty table gives an empty result.  Other columns are
+never read; ``score`` and ``predicted`` of the caller's are refused.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_batches, documents, whole
 
@@ -32,6 +34,8 @@ BUCKETS, DIMENSION = 1 << 17, 8
 WINDOW = 48
 #: Labelled documents of each class that training takes at most.
 MAX_TRAIN = 2_000
+#: Bytes of their texts, for each class.
+MAX_BYTES = 50_000_000
 EPOCHS = 150
 #: The largest step of a weight in the first epoch.
 RATE = 0.04
@@ -156,13 +160,18 @@ def labelled(docs: DataFrame, labels: DataFrame, keep: Column, most: int = MAX_T
     """At most ``most`` texts of each class among the labels for which ``keep`` (of doc_id) holds."""
     ids = labels.where(keep & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [ids.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    # one text for an id, and in order of hash so many whole texts as fit: 2 * most rows at most are ordered
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    along = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("held", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(along)).where(F.col("held") <= MAX_BYTES).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] or "" for r in rows], [r["toxic"] for r in rows]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with the score of each text."""
+    if {"score", "predicted"} & set(docs.columns):
+        raise ValueError("docs has a column score or predicted already")
     handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[tuple[pd.Series]]) -> Iterator[pd.Series]:
