@@ -17,7 +17,8 @@ link by them are verified.  Each set's nearest partners go first, and what they
 
 Defined cases: null and empty texts have no shingles and link with nothing (component_id is the doc_id); fewer words
 than K make one shingle; rows that repeat give their result as often; a null doc_id is never the smallest of a component
-that has another.  Shingles and sets are compared by 64-bit hashes.  Other columns are ignored.
+that has another; of a component of null ids alone component_id is null.  Shingles and sets are compared by 64-bit
+hashes, subsets by 128 bits.  An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,23 +31,25 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, cut, documents, whole, written
+from .common import arrow_batches, cut, documents, summed, whole, written
 
 K, PERCENT = 4, 85
 #: Largest size for which subsets are considered at all.
 LIGHT_MOST = 32
 #: What meeting and verifying a list's members costs, in keys, for each key of a prefix.
 SCAN_COST = 4
-COUNTERS = 1 << 20
+#: Bits of a counter's number: so many that there are four counters for each document, within these bounds.
+LEAST_BITS, MOST_BITS, COUNTER_PARTS = 20, 22, 64
 #: Lists that may be longer than this, by the counters, are not sorted in one task.
 LONG_LIST = 50_000
 SKETCH = 1024
-#: Members of a list that are compared with each other at once.
-LIST_BLOCK = 2_000
+#: Members of a list that are compared with each other at once; longer lists are split by size first.
+LIST_BLOCK = 1_000
 PAIRS_AT_ONCE = 200_000
 #: Scans: one list of so many, and which of a set's partners that may link, from the nearest on; the last takes all that are left.
 ROUNDS = ((8, (0, 1)), (1, (0, 3)), (1, (3, None)))
@@ -142,27 +145,34 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
 def counted(docs: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
     """Counters of all shingles by hash, as powers of two, and how many documents have each small size."""
 
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * docs.count()).bit_length()))
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, sizes = np.zeros(COUNTERS, dtype=np.int64), np.zeros(LIGHT_MOST + 1, dtype=np.int64)
+        held, sizes = np.zeros(1 << bits, dtype=np.int64), np.zeros(LIGHT_MOST + 1, dtype=np.int64)
         for batch in batches:
             for found in shingle_sets(batch["text"].tolist(), k):
-                np.add.at(held, (found >> np.uint64(44)).astype(np.int64), 1)
+                np.add.at(held, (found >> np.uint64(64 - bits)).astype(np.int64), 1)
                 if len(found) <= LIGHT_MOST:
                     sizes[len(found)] += 1
-        width = COUNTERS // 64
-        yield pd.DataFrame({"part": [*range(64), -1], "held": [*(held[i * width : (i + 1) * width].astype("<i8").tobytes() for i in range(64)), sizes.tobytes()]})
+        squeeze = zstandard.ZstdCompressor(level=1)
+        yield pd.DataFrame({"part": [*range(COUNTER_PARTS), -1], "held": [squeeze.compress(x.tobytes()) for x in (*np.split(held, COUNTER_PARTS), sizes)]})
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, dtype=np.int64) for b in part["held"])
+    def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # the driver gets one byte for each counter
-        small = np.ceil(8 * np.log2(1 + total)).astype(np.uint8).tobytes() if part["part"].iloc[0] >= 0 else total.tobytes()
-        return pd.DataFrame({"part": part["part"].iloc[:1], "held": [small]})
+        for batch in batches:
+            totals = [np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(b)), dtype=np.int64) for b in batch["held"]]
+            yield batch.assign(held=[x.tobytes() if p < 0 else coded(x).tobytes() for p, x in zip(batch["part"], totals, strict=True)])
 
-    rows = docs.select("text").mapInPandas(count, "part int, held binary").groupBy("part").applyInPandas(add, "part int, held binary").collect()
+    rows = summed(docs.select("text").mapInPandas(count, "part int, held binary"), "int64").mapInPandas(small, "part int, held binary").collect()
     if not rows:
-        return np.zeros(COUNTERS, dtype=np.uint8), {}
+        return np.zeros(1 << bits, dtype=np.uint8), {}
     parts = {r["part"]: bytes(r["held"]) for r in rows}
-    return np.frombuffer(b"".join(parts[i] for i in range(64)), dtype=np.uint8), dict(enumerate(np.frombuffer(parts[-1], dtype=np.int64).tolist()))
+    return np.frombuffer(b"".join(parts[i] for i in range(COUNTER_PARTS)), dtype=np.uint8), dict(enumerate(np.frombuffer(parts[-1], dtype=np.int64).tolist()))
+
+
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts as eighths of powers of two, in one byte; those beyond 2 ** 31 are all alike."""
+    return np.minimum(255, np.ceil(8 * np.log2(1 + counts))).astype(np.uint8)
 
 
 def _sketch(found: np.ndarray) -> list[int]:
@@ -171,17 +181,19 @@ def _sketch(found: np.ndarray) -> list[int]:
 
 
 def sets(docs: DataFrame, counters: np.ndarray, light: int, k: int, percent: int) -> DataFrame:
-    """doc_id, row (the text's hash), n, kid (the set's hash), sketch, heavy and long keys (prefix shingles), light keys and their small sizes."""
+    """doc_id, row (the text's hash), n, kid (the set's hash), sketch, heavy and long keys (prefix shingles), light keys (two hashes) and their small sizes."""
     handed = docs.sparkSession.sparkContext.broadcast(counters)
-    hot = int(np.ceil(8 * np.log2(1 + LONG_LIST)))
+    shift = np.uint64(65 - len(counters).bit_length())
+    # where counters are full of rare shingles, only what stands out by a factor of two is long
+    hot = max(int(coded(np.array(LONG_LIST))), int(np.median(counters)) + 8)
 
     def one(found: np.ndarray, weight: np.ndarray, met: set[int]) -> tuple:
         n = len(found)
         if not n:
-            return 0, None, None, [], [], [], []
+            return 0, None, None, [], [], [], [], []
         kid = xxhash.xxh64_intdigest(found.tobytes())
         if kid in met:
-            return n, kid, None, [], [], [], []
+            return n, kid, None, [], [], [], [], []
         met.add(kid)
         heavy = long = found[:0]
         keys, small = [], []
@@ -191,13 +203,14 @@ def sets(docs: DataFrame, counters: np.ndarray, light: int, k: int, percent: int
                     continue
                 head = np.array([s, t], dtype=np.uint64).tobytes()
                 for part in combinations(found.tolist(), least_overlap(s, t, percent)):
-                    keys.append(xxhash.xxh64_intdigest(head + np.array(part, dtype=np.uint64).tobytes()))
+                    keys.append(xxhash.xxh128_digest(head + np.array(part, dtype=np.uint64).tobytes()))
                     small.append(s)
         if 100 * n // percent > light:
-            rarity = weight[(found >> np.uint64(44)).astype(np.int64)]
+            rarity = weight[(found >> shift).astype(np.int64)]
             first = np.lexsort((found, rarity))[: prefix(n, percent)]
             heavy, long = found[first[rarity[first] < hot]], found[first[rarity[first] >= hot]]
-        return n, kid, _sketch(found), heavy.view(np.int64), long.view(np.int64), np.array(keys, dtype=np.uint64).view(np.int64), small
+        both = np.frombuffer(b"".join(keys), dtype=np.int64)
+        return n, kid, _sketch(found), heavy.view(np.int64), long.view(np.int64), both[::2], both[1::2], small
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # copies within a task make their keys once
@@ -205,10 +218,10 @@ def sets(docs: DataFrame, counters: np.ndarray, light: int, k: int, percent: int
         for batch in batches:
             rows = [one(found, weight, met) for found in shingle_sets(batch["text"].tolist(), k)]
             kid = pd.array([None if r[1] is None else r[1] - (1 << 64) if r[1] >> 63 else r[1] for r in rows], dtype="Int64")
-            out = pd.DataFrame([(r[0], *r[2:]) for r in rows], columns=["n", "sketch", "heavy", "long", "light", "small"])
+            out = pd.DataFrame([(r[0], *r[2:]) for r in rows], columns=["n", "sketch", "heavy", "long", "light", "light2", "small"])
             yield out.assign(row=batch["row"], doc_id=batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), kid=kid)
 
-    schema = "n long, kid long, sketch array<long>, heavy array<long>, long array<long>, light array<long>, small array<int>, row long, doc_id long"
+    schema = "n long, kid long, sketch array<long>, heavy array<long>, long array<long>, light array<long>, light2 array<long>, small array<int>, row long, doc_id long"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInPandas(make, schema)
 
 
@@ -257,17 +270,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, sketches: Da
 
 
 def set_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """For each row: doc_id, n, kid; and for the sets that link with another: node, component."""
+    """For each row: doc_id, row, n, kid; and for the sets that link with another: node, component."""
     counters, sizes = counted(docs, k)
     light = boundary(sizes, percent)
     rows = written(sets(docs, counters, light, k, percent))
     distinct = rows.where("n > 0").groupBy("kid").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "row")).alias("one"))
     owners = distinct.select("kid", "one.doc_id", "one.row")
 
-    # light sets: a shared subset is a link
-    subsets = rows.where(F.size("light") > 0).select("kid", "n", F.explode(F.arrays_zip("light", "small")).alias("x")).select("kid", "n", F.col("x.light").alias("key"), F.col("x.small").alias("small")).distinct()
-    hubs = subsets.groupBy("key").agg(F.min(F.when(F.col("n") == F.col("small"), F.col("kid"))).alias("hub"), F.min("kid").alias("low"), F.max("kid").alias("high")).where("hub IS NOT NULL AND low <> high")
-    found = [subsets.join(hubs.select("key", "hub"), "key").where("kid <> hub").select(F.col("kid").alias("a"), F.col("hub").alias("b"))]
+    # light sets: a shared subset, recognised by 128 bits, is a link
+    subsets = rows.where(F.size("light") > 0).select("kid", "n", F.explode(F.arrays_zip("light", "light2", "small")).alias("x")).select("kid", "n", F.col("x.light").alias("key"), F.col("x.light2").alias("key2"), F.col("x.small").alias("small")).distinct()
+    hubs = subsets.groupBy("key", "key2").agg(F.min(F.when(F.col("n") == F.col("small"), F.col("kid"))).alias("hub"), F.min("kid").alias("low"), F.max("kid").alias("high")).where("hub IS NOT NULL AND low <> high")
+    found = [subsets.join(hubs.select("key", "key2", "hub"), ["key", "key2"]).where("kid <> hub").select(F.col("kid").alias("a"), F.col("hub").alias("b"))]
 
     # heavy sets: inverted lists with two sets at least, and the first pivot of each
     def lists(column: str) -> DataFrame:
@@ -300,25 +313,34 @@ def set_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
         if more is None or more.isEmpty():
             continue
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    return rows.select("doc_id", "n", "kid"), parts
+    return rows.select("doc_id", "row", "n", "kid"), parts
 
 
 def _scanned(lists: DataFrame, percent: int, ranks: tuple[int, int | None]) -> DataFrame:
     """Pairs (a, b) of a list's members of different components whose sizes and sketches leave a link possible.
 
-    lists: key, size (of the list), kid, component, n, sketch.  A long list is cut into blocks, and each pair of blocks is
-    a group of its own, so that no task holds more than two blocks.
+    lists: key, size (of the list), kid, component, n, sketch.  A long list is split by size: sizes that may link are in
+    the same band or in neighbouring ones, so each member meets its own band, and the next one as a guest; guests do not
+    meet each other.  A band of a list that is still long is cut into blocks, and each pair of blocks is a group of its
+    own, so that no task holds more than two blocks.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / LIST_BLOCK)).cast("int")
-    dealt = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("kid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "kid", "component", "n", "sketch")
+    columns = ("key", "band", "low", "high", "own", "guest", "kid", "component", "n", "sketch")
+    none = F.lit(0)
+    short = lists.where(F.col("size") <= LIST_BLOCK).withColumns({"band": F.lit(-1), "low": none, "high": none, "own": none, "guest": F.lit(False)})
+    # rounded down a little, so that an inexact logarithm does not part sizes that may link by more than a band
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.001 / percent))).cast("int")
+    long = lists.where(F.col("size") > LIST_BLOCK).withColumn("x", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))))
+    long = long.select("key", "x.band", "x.guest", "kid", "component", "n", "sketch")
+    many = long.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"), F.bool_and("guest").alias("guests")).where("NOT guests").drop("guests")
+    long = long.join(many, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("kid"), F.col("blocks")).cast("int"))
+    long = long.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "with"), "high": F.greatest("own", "with")})
+    dealt = short.select(*columns).unionByName(long.select(*columns))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry = None
         for batch in batches:
             rows = batch if carry is None else pd.concat((carry, batch), ignore_index=True)
-            own = rows[["key", "low", "high"]].to_numpy()
+            own = rows[["key", "band", "low", "high"]].to_numpy()
             # the last list may go on in the next batch
             last = int(np.flatnonzero((own != own[-1]).any(1))[-1] + 1) if (own != own[-1]).any() else 0
             carry = rows.iloc[last:]
@@ -327,7 +349,8 @@ def _scanned(lists: DataFrame, percent: int, ranks: tuple[int, int | None]) -> D
         if carry is not None and len(carry):
             yield _near(carry, percent, ranks)
 
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "kid").mapInPandas(scan, "a long, b long")
+    group = ("key", "band", "low", "high")
+    return dealt.repartition(*group).sortWithinPartitions(*group, "kid").mapInPandas(scan, "a long, b long")
 
 
 def _near(rows: pd.DataFrame, percent: int, ranks: tuple[int, int | None]) -> pd.DataFrame:
@@ -336,8 +359,8 @@ def _near(rows: pd.DataFrame, percent: int, ranks: tuple[int, int | None]) -> pd
     ranks: which of the partners after it in the list each member gives, from the nearest on, whatever their components;
     so all rounds together give every pair whose members are of different components when its turn comes.
     """
-    lists = rows[["key", "low", "high"]].to_numpy()
-    n, component, kid, own = (rows[c].to_numpy() for c in ("n", "component", "kid", "own"))
+    lists = rows[["key", "band", "low", "high"]].to_numpy()
+    n, component, kid, own, guest = (rows[c].to_numpy() for c in ("n", "component", "kid", "own", "guest"))
     across = (rows["low"] != rows["high"]).to_numpy()
     sketch = np.array(rows["sketch"].tolist(), dtype=np.int64).view(np.uint64)
     begins = np.flatnonzero(np.concatenate(([True], (lists[1:] != lists[:-1]).any(1))))
@@ -350,7 +373,7 @@ def _near(rows: pd.DataFrame, percent: int, ranks: tuple[int, int | None]) -> pd
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
         i = np.repeat(np.arange(at, to), more[at:to])
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[at:to]) - more[at:to], more[at:to])
-        keep = (n[i] * 100 >= n[j] * percent) & (n[j] * 100 >= n[i] * percent) & (~across[i] | (own[i] != own[j]))
+        keep = (n[i] * 100 >= n[j] * percent) & (n[j] * 100 >= n[i] * percent) & (~across[i] | (own[i] != own[j])) & ~(guest[i] & guest[j])
         i, j = i[keep], j[keep]
         apart = np.zeros(len(i), dtype=np.int64)
         for k in range(sketch.shape[1]):
@@ -370,18 +393,51 @@ def _near(rows: pd.DataFrame, percent: int, ranks: tuple[int, int | None]) -> pd
     return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
-def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs``."""
+def row_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, row (the text's hash), n_shingles and component_id of each row of ``docs``, and whether it is its component's first.
+
+    The first has the smallest doc_id, and of several texts under that the smallest hash; null ids come last.  A row that
+    links with nothing is first.
+    """
     docs = docs.select("doc_id", whole(F.col("text")).alias("text"))
     rows, parts = set_components(docs, k, percent)
     of = parts.select(F.col("node").alias("kid"), "component")
-    least = rows.where("n > 0").groupBy("kid").agg(F.min("doc_id").alias("least")).join(of, "kid", "left").withColumn("component", F.coalesce("component", "kid"))
-    smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = least.join(smallest, "component").select("kid", "component_id")
-    out = rows.join(ids, "kid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    least = rows.where("n > 0").groupBy("kid").agg(F.min(order).alias("least")).join(of, "kid", "left").withColumn("component", F.coalesce("component", "kid"))
+    smallest = least.groupBy("component").agg(F.min("least").alias("one"))
+    out = rows.join(least.join(smallest, "component").select("kid", "one"), "kid", "left")
+    first = (F.col("n") == 0) | F.col("one.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("one.row") == F.col("row"))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("one.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), first.alias("first"))
+
+
+def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of ``docs``."""
+    return row_components(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark, 256)
     return jaccard_components(documents(spark, sf_dir))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {K} THEN list_transform(range(1, len(w) - {K} + 2), i -> array_to_string(w[i:i + {K} - 1], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+numbered AS (SELECT doc_id, hash(s) AS s FROM shingles),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM numbered a JOIN numbered b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * shared.n >= {PERCENT} * (x.n + y.n - shared.n)),
+reached AS (
+  SELECT doc_id, doc_id AS to_id FROM documents
+  UNION
+  SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.to_id = links.a)
+SELECT documents.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(reached.to_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN reached USING (doc_id) GROUP BY documents.doc_id
+"""
