@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spantile.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
-from spantile.llm.common import arrow_batches, written
+from spantile.llm.common import arrow_batches, whole, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: shingles of five words, a likeness of 0.8 or more.
@@ -29,17 +29,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents hold stay in one of them."""
-    arrow_batches(spark, 10_000)
     out = line_dedup.dedup_lines(docs.select(*COLUMNS), LINE_DOCS, LINE_CHARS)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component stays."""
+    """The document with the smallest doc_id of each component stays; of two texts under that id, the one with the smaller hash.
+
+    Rows go by doc_id and text: another text under the id of one that goes is another document.
+    """
     arrow_batches(spark, 256)
-    found = jaccard_join.jaccard_components(docs, SHINGLE_WORDS, LIKE_PERCENT)
-    gone = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    found = jaccard_join.row_components(docs, SHINGLE_WORDS, LIKE_PERCENT)
+    gone = found.where("NOT first").select(F.col("doc_id").alias("gone"), "row").distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.xxhash64(whole(F.col("text"))) == F.col("row")), "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
