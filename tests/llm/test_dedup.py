@@ -65,9 +65,49 @@ def test_line_index_is_reversible(docs):
     known = docs.where("doc_id IS NOT NULL AND doc_id < 30")
     more = docs.where("doc_id >= 30 AND doc_id < 60")
     index = line_dedup.LineIndex.build(known)
-    back = index.insert(more).delete(more.select("doc_id"))
     rows = lambda x: sorted(map(tuple, x.common.select("h1", "h2", "n_docs", "last").collect()))
-    assert rows(back) == rows(index) != rows(index.insert(more))
+    both = index.insert(more)
+    whole = line_dedup.LineIndex.build(known.unionByName(more))
+    assert rows(both) == rows(whole) != rows(index)
+    back = both.delete(more.select("doc_id"))
+    assert rows(back) == rows(index) and back.refs.count() == index.refs.count()
+    drops = lambda x, docs: sorted((r.doc_id, r.row, sorted(r.drop)) for r in x.drops(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).collect())
+    assert drops(both, more) == drops(whole, more) and drops(back, known) == drops(index, known)
+
+
+def test_line_index_leaves_untouched_shards(spark, monkeypatch):
+    """Only shards with keys that cross the limit get a new filter, and by the filter's own insertion and deletion."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)
+    line = lambda k: F.concat(F.lit("a line that is long enough, number "), F.lit(k).cast("string"))
+    docs = spark.range(4).select(F.col("id").alias("doc_id"), F.concat_ws("\n", *[line(k) for k in range(60)]).alias("text"))
+    index = line_dedup.LineIndex.build(docs)
+    assert index.shards == 12
+
+    def never(keys):
+        raise AssertionError("a filter is built from its keys")
+
+    monkeypatch.setattr(line_dedup, "_building", lambda version: never)
+    more = spark.range(10, 13).select(F.col("id").alias("doc_id"), line(1000).alias("text"))
+    grown = index.insert(more)
+    filters = lambda x: {r.shard: (r.version, bytes(r.held)) for r in x.filters.collect()}
+    before, after = filters(index), filters(grown)
+    changed = {s for s in before if before[s] != after[s]}
+    assert len(changed) == 1 and {after[s][0] for s in changed} == {1} and all(after[s][0] == 0 for s in before if s not in changed)
+    asked = more.select("doc_id", "text")
+    assert {r.doc_id for r in grown.drops(asked).collect()} == {10, 11} and index.drops(asked).count() == 0
+    back = grown.delete(more.select("doc_id"))
+    [shard] = changed
+    first, last = (line_dedup.CuckooFilter.from_bytes(x[shard][1]) for x in (before, filters(back)))
+    assert (np.sort(first.table, 1) == np.sort(last.table, 1)).all() and first.stash == last.stash
+    assert back.drops(asked).count() == 0 and back.drops(docs).count() == 3
+
+
+def test_line_filters_are_asked_in_slices(docs, rows, monkeypatch):
+    want = sorted(map(str, line_dedup.dedup_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "SLICE_LINES", 7)
+    monkeypatch.setattr(line_dedup, "ROW_LINES", 3)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    assert sorted(map(str, line_dedup.dedup_lines(docs).collect())) == want
 
 
 def test_cuckoo_filter():
@@ -114,12 +154,35 @@ def test_jaccard_join(docs, rows, none, monkeypatch):
 
 
 def test_jaccard_lists_in_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 4)
+    """Lists are split by size and in blocks, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 2)
     monkeypatch.setattr(jaccard_join, "boundary", lambda sizes, percent: 0)
     got = jaccard_join.jaccard_components(docs, 3, 70)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 3, 70)
 
 
+def test_jaccard_first_of_each_component(docs, rows):
+    """One row of each component is first, or several that are equal: the smallest doc_id, null last."""
+    found = jaccard_join.row_components(docs, 3, 70).collect()
+    groups = defaultdict(set)
+    for r in found:
+        if r.first:
+            groups[r.component_id if r.n_shingles else (r.doc_id, r.row)].add((r.doc_id, r.row))
+    assert all(len(x) == 1 for x in groups.values())
+    assert all(r.doc_id == r.component_id for r in found if r.first)
+
+
+def test_jaccard_of_rows_without_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, text), (None, text), (None, "x " + text), (5, None), (None, None)], "doc_id long, text string")
+    got = jaccard_join.row_components(docs, 2, 60).collect()
+    assert [r.component_id for r in got if r.n_shingles] == [None] * 3 and len({r.row for r in got if r.n_shingles and r.first}) == 1
+
+
+def test_counters_grow_without_wrapping():
+    assert jaccard_join.coded(np.array([0, 1, 2**20, 2**40])).tolist() == [0, 8, 161, 255]
+
+
 def test_subsets_and_prefixes_are_enough():
     for n in range(1, 40):
         for m in range(n, 60):

@@ -1,6 +1,5 @@
 """Sharding, packing, toxicity, fingerprints, language model, licenses and decontamination."""
 
-import hashlib
 import math
 import random
 import zlib
@@ -8,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -37,7 +37,6 @@ def test_sharding_cuts_a_group_of_equal_rows(spark):
 
 def test_packing(docs, rows, none):
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     want = Counter()
     for r in rows:
         ids = [*coder.encode(r[1] or "", add_special_tokens=False).ids, 1]
@@ -115,31 +114,91 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity(none, labels, F.lit(True)).count() == 0
 
 
-def test_fingerprints(docs, rows, none):
-    ordered = sorted(((r[0], r[1] or "") for r in rows if r[0] is not None and r[0] not in (98, 99)), reverse=True)
-    some = docs.where("doc_id IS NOT NULL AND doc_id NOT IN (98, 99)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = fingerprints.with_next(some, {"fingerprint": fingerprints.fingerprint(F.col("text"))})
-    out = out.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text"))).withColumn("near", fingerprints.likeness(F.col("fingerprint"), fingerprints.fingerprint(F.col("edited"))))
-    got = {r.doc_id: r for r in out.collect()}
-    by_text = {}
-    for i, (key, text) in enumerate(ordered):
-        following = ordered[(i + 1) % len(ordered)][1]
+def brute_anchors(units, word, pair, run):
+    """The closed syncmers of a row of units, from the hashes that Spark gives single units, pairs and runs."""
+    k, s = fingerprints.K, fingerprints.S
+    out = []
+    for i in range(len(units) - k + 1):
+        inner = [pair[tuple(units[i + j : i + j + s])] for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((run[tuple(units[i : i + k])], i))
+    if len(units) < k and units:
+        out.append((run[tuple(units)], 0))
+    return out
+
+
+def brute_likeness(a, b):
+    """By the definition: of the hashes to which both are complete, what share of either's both have."""
+    p, q = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (a, b))
+    if a == b:
+        return 1.0
+    bound = min((max(max(x), f"{fingerprints.SHARE - 1:08X}") if len(x) >= fingerprints.BOTTOM else "G") for x in (p, q))
+    p, q = ({h for h in x if h <= bound} for x in (p, q))
+    return len(p & q) / len(p | q) if p | q else 0.0
+
+
+def test_fingerprints(spark, docs, rows, none):
+    """Anchors, fingerprints and likeness against brute force over Spark's hashes of units."""
+    texts = sorted({r[1] or "" for r in rows})
+    data = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = data.select("text", fingerprints.units(F.col("text")).alias("units"), fingerprints.placed_anchors(F.col("text")).alias("anchors"), fingerprints.fingerprint(F.col("text")).alias("mark"), F.shiftrightunsigned(F.xxhash64("text"), 32).alias("whole")).collect()
+    k = fingerprints.K
+    grams = {n: sorted({tuple(r.units[i : i + n]) for r in got for i in range(len(r.units) - n + 1)}) for n in (1, 2, k)}
+    word = {g[0]: h for g, h in spark.createDataFrame([(list(g),) for g in grams[1]], "g array<string>").select("g", F.xxhash64(F.col("g")[0])).collect()}
+
+    def hashed(n):
+        frame = spark.createDataFrame([([word[w] for w in g], list(g)) for g in grams[n]], "h array<bigint>, g array<string>")
+        return {tuple(r.g): r.x for r in frame.select("g", F.xxhash64(*[F.col("h")[i] for i in range(n)]).alias("x")).collect()}
+
+    pair, run = hashed(2), hashed(k)
+    short = spark.createDataFrame([([word[w] for w in r.units], r.units) for r in got if 0 < len(r.units) < k], "h array<bigint>, g array<string>")
+    run |= {tuple(r.g): r.x for r in short.select("g", F.xxhash64("h").alias("x")).collect()}
+    for r in got:
+        want = brute_anchors(r.units, word, pair, run)
+        assert [(a.hash, a.place) for a in r.anchors] == want
+        marks = sorted({(h % 2**64) >> 32 for h, _ in want}) or ([r.whole] if r.units else [])
+        n = max(fingerprints.BOTTOM, sum(h < fingerprints.SHARE for h in marks))
+        assert r.mark == "".join(f"{h:08X}" for h in marks[:n])
+    pairs = [(a.mark, b.mark) for a in got[::3] for b in got[::5]]
+    near = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(abs(r.x - brute_likeness(r.a, r.b)) < 1e-12 for r in near)
+
+
+def test_fingerprints_of_edited_and_next_texts(docs, rows, none):
+    """Repeated rows, ties and null ids: by falling doc_id, null last, then by falling hash of the text."""
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashes = {r.text: r.h for r in some.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(((-(2**63) if r[0] is None else r[0], hashes[r[1] or ""], r[1] or "", r[0]) for r in rows), key=lambda x: x[:3], reverse=True)
+    out = fingerprints.with_next(some, {"fingerprint": fingerprints.fingerprint(F.col("text"))}).withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
+    want = Counter()
+    for i, (_, _, text, doc_id) in enumerate(ordered):
+        following = ordered[(i + 1) % len(ordered)][2]
         half = len(text) // 2
-        assert got[key].edited == text[: len(text) - half] + following[:half]
-        assert by_text.setdefault(text, got[key].fingerprint) == got[key].fingerprint
-        assert 0 <= got[key].near <= 1
-    assert got[90].fingerprint == "" and got[90].near == 1.0 and got[92].fingerprint == got[93].fingerprint != ""
+        want[(doc_id, text, following, text[: len(text) - half] + following[:half])] += 1
+    assert Counter((r.doc_id, r.text, r.next_text, r.edited) for r in out.collect()) == want
     assert fingerprints.with_next(none.select("doc_id", "text"), {}).count() == 0
 
 
 def test_fingerprints_in_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "PART_DOCS", 7)
+    monkeypatch.setattr(fingerprints, "RANGES", 100)
     ids = sorted({i * i % 997 for i in range(90)}, reverse=True)
     docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.next_text for r in fingerprints.with_next(docs, {}).collect()}
     assert got == {i: f"text {ids[(n + 1) % len(ids)]}" for n, i in enumerate(ids)}
 
 
+def test_fingerprints_of_an_id_that_many_rows_have(spark, monkeypatch):
+    """Rows without an id, and rows under one id, are cut into ranges by their texts' hash."""
+    monkeypatch.setattr(fingerprints, "PART_DOCS", 10)
+    monkeypatch.setattr(fingerprints, "RANGES", 100)
+    docs = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    ordered = [r.text for r in sorted(rows, key=lambda r: (-(2**63) if r.doc_id is None else r.doc_id, r.h), reverse=True)]
+    out = fingerprints.with_next(docs, {"range": F.spark_partition_id()})
+    assert {r.text: r.next_text for r in out.collect()} == {t: ordered[(i + 1) % 300] for i, t in enumerate(ordered)}
+
+
 def test_syncmers_are_context_free(spark):
     words = [f"w{i * 7919 % 101}" for i in range(60)]
     texts = [" ".join(words), "before " * 3 + " ".join(words) + " after"]
@@ -147,6 +206,27 @@ def test_syncmers_are_context_free(spark):
     assert len(a) > 10 and a <= b
 
 
+def test_shared_passages(spark):
+    """Positional matching: a passage is found at its places, whatever stands around it."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    texts, places = [], {}
+    for i in range(30):
+        before = [word() for _ in range(rnd.randint(0, 40))]
+        own = passage if i % 3 == 0 else [word() for _ in range(60)]
+        places[i] = len(before) if i % 3 == 0 else None
+        texts.append((i, " ".join([*before, *own, *(word() for _ in range(20))])))
+    docs = spark.createDataFrame([*texts, (None, None), (99, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1000, " ".join(passage)), (1001, None)], "doc_id long, text string")
+    got = fingerprints.shared_passages(docs, asked).collect()
+    assert {r.doc_id for r in got} == {i for i, at in places.items() if at is not None}
+    for r in got:
+        assert r.query_id == 1000 and r.place - r.query_place == places[r.doc_id] and r.length >= 40
+    with pytest.raises(ValueError, match="anchors"):
+        fingerprints.shared_passages(docs, asked, 3)
+
+
 def test_lm_scoring(docs, rows, none):
     got = lm_scoring.lm_scores(docs).collect()
     words = [(r[0], (r[1] or "").encode().lower().split()) for r in rows]
@@ -164,84 +244,118 @@ def test_lm_scoring(docs, rows, none):
     assert lm_scoring.lm_scores(none).count() == 0
 
 
+def _weights(rng, rows=9, size=4, classes=5):
+    return {"x": rng.normal(size=(rows, size)), **{n: rng.normal(size=(size, size)) for n in "qkvs"}, "lag": rng.normal(size=2 * lm_scoring.WINDOW), "out": rng.normal(size=(size, classes)), "bias": rng.normal(size=classes)}
+
+
+def _states(par, rows, text, low, high):
+    x = par["x"]
+    return lm_scoring.attend(rows, lm_scoring.starts(text), low, high, *(x @ par[n] for n in "qkvs"), par["lag"])[0]
+
+
+def test_lm_attention_is_causal_attention():
+    """Against attention worked out place by place: over the place's window and the one before, of its text alone."""
+    rng = np.random.default_rng(1)
+    par, w = _weights(rng), lm_scoring.WINDOW
+    rows, text = rng.integers(0, 9, 5 * w + 7), np.repeat([0, 1, 2], [w + 5, 2 * w, 2 * w + 2])
+    q, k, v, s = (par["x"][rows] @ par[n] for n in "qkvs")
+    want = []
+    for i in range(len(rows)):
+        there = [j for j in range(max(0, (i // w - 1) * w), i + 1) if text[j] == text[i]]
+        e = np.exp([q[i] @ k[j] + par["lag"][i - j] for j in there])
+        want.append(s[i] + (e / e.sum()) @ v[there])
+    assert np.allclose(_states(par, rows, text, 0, len(rows)), want)
+    # lots of windows are the same as all at once
+    assert np.allclose(np.concatenate([_states(par, rows, text, at, min(len(rows), at + 2 * w)) for at in range(0, len(rows), 2 * w)]), want)
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(0)
-    par = {"x": rng.normal(size=(9, 4)), "q": rng.normal(size=(4, 4)), "k": rng.normal(size=(4, 4)), "v": rng.normal(size=(4, 4)), "s": rng.normal(size=(4, 4)), "lag": rng.normal(size=lm_scoring.LAGS), "out": rng.normal(size=(4, 5)), "bias": rng.normal(size=5)}
-    rows, of, following, keep = rng.integers(0, 9, 20), np.repeat([0, 1], 10), rng.integers(0, 5, 20), rng.random(20) > 0.2
-
-    def loss():
-        x = par["x"]
-        state = lm_scoring.attend(rows, of, *(x @ par[n] for n in "qkvs"), par["lag"])[0]
-        z = state @ par["out"] + par["bias"]
-        z = z - z.max(1, keepdims=True)
-        return float(-((z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(20), following] * keep).sum() / keep.sum())
-
-    grad = lm_scoring._gradients(par, rows, of, following, keep)
-    for name, at in (("x", (rows[3], 1)), ("q", (1, 2)), ("k", (0, 3)), ("v", (2, 2)), ("s", (1, 1)), ("lag", (1,)), ("out", (2, 3)), ("bias", (1,))):
-        old, eps = par[name][at], 1e-3
-        par[name][at] = old + eps
-        up = loss()
-        par[name][at] = old - eps
-        down = loss()
-        par[name][at] = old
-        assert abs((up - down) / (2 * eps) - grad[name][at]) < 2e-2 * max(1, abs(grad[name][at]))
-
-
-def test_lm_attends_far_back():
-    """An id 500 places before counts, one of another text does not; and the spans' gradients are right."""
-    rng = np.random.default_rng(1)
-    par = {"x": rng.normal(size=(9, 4)), **{n: rng.normal(size=(4, 4)) for n in "qkvs"}, "lag": rng.normal(size=lm_scoring.LAGS), "out": rng.normal(size=(4, 5)), "bias": rng.normal(size=5)}
-    rows, of, following, keep = rng.integers(0, 8, 700), np.repeat([0, 1], [100, 600]), rng.integers(0, 5, 700), np.arange(700) > 500
-
-    def state(rows):
-        x = par["x"]
-        return lm_scoring.attend(rows, of, *(x @ par[n] for n in "qkvs"), par["lag"])[0]
-
-    def changed(at):
-        other = rows.copy()
-        other[at] = 8
-        return np.abs(state(other) - state(rows)).max(1)
-
-    assert changed(150)[600] > 0 and changed(150)[661] > 0 and changed(150)[662:].max() < 1e-9 and changed(150)[:150].max() < 1e-9
-    assert changed(90)[100:].max() < 1e-9
-
-    def loss():
-        z = state(rows) @ par["out"] + par["bias"]
-        return float(-((z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(700), following] * keep).sum() / keep.sum())
-
-    grad = lm_scoring._gradients(par, rows, of, following, keep)
-    for name, at in (("x", (3, 1)), ("k", (0, 3)), ("v", (2, 2)), ("q", (1, 2)), ("lag", (lm_scoring.LAGS - 1,))):
-        old, eps = par[name][at], 1e-3
-        par[name][at] = old + eps
-        up = loss()
-        par[name][at] = old - eps
-        down = loss()
-        par[name][at] = old
-        assert abs((up - down) / (2 * eps) - grad[name][at]) < 1e-3
-
-
-def test_lm_context_counts_grow_with_the_corpus(spark, monkeypatch):
-    """What follows what is counted in all training documents, not in the sample, and rates a text by its order of words."""
-    told = []
-    monkeypatch.setattr(lm_scoring, "TRAIN_DOCS", 8)
-    fitted = lm_scoring.fitted
-    monkeypatch.setattr(lm_scoring, "fitted", lambda *a: told.append((a[0].texts, a[6])) or fitted(*a))
-    for n in (40, 80):
-        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("red green blue red green blue").alias("text"))
-        lm_scoring.lm_scores(docs).collect()
-    for n, (texts, follow) in zip((40, 80), told, strict=True):
-        # in each training text 6 words and an end, of one id each at least
-        assert texts == 8 and follow[:, 0].sum() >= 7 * sum(map(lm_scoring.is_training, range(n)))
-        assert follow[lm_scoring.END, 0].sum() == sum(map(lm_scoring.is_training, range(n)))
-    assert told[1][1].sum() > 1.8 * told[0][1].sum()
+    par, w = _weights(rng), lm_scoring.WINDOW
+    n = 4 * w + 3
+    rows, text, following, keep = rng.integers(0, 8, n), np.repeat([0, 1], [w + 9, 3 * w - 6]), rng.integers(0, 5, n), rng.random(n) > 0.2
+    start = lm_scoring.starts(text)
+    for low in (0, 2 * w):
+
+        def loss(low=low):
+            z = _states(par, rows, text, low, n) @ par["out"] + par["bias"]
+            return float(-((z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(n - low), following[low:]] * keep[low:]).sum() / keep[low:].sum())
+
+        grad = lm_scoring.gradients(par, rows, start, low, n, following[low:], keep[low:])
+        for name, at in (("x", (rows[low + 3], 1)), ("q", (1, 2)), ("k", (0, 3)), ("v", (2, 2)), ("s", (1, 1)), ("lag", (1,)), ("lag", (w + 2,)), ("out", (2, 3)), ("bias", (1,))):
+            old, eps = par[name][at], 1e-4
+            par[name][at] = old + eps
+            up = loss()
+            par[name][at] = old - eps
+            down = loss()
+            par[name][at] = old
+            assert abs((up - down) / (2 * eps) - grad[name][at]) < 1e-4 * max(1, abs(grad[name][at])), name
 
 
 def test_lm_is_a_distribution():
-    """The classes' shares of their ids sum to one, and every id has one."""
+    """Classes' shares sum to one, and so do the probabilities of what may follow, with counts and without."""
     counts, opens = np.arange(lm_scoring.IDS) % 7, np.arange(lm_scoring.IDS) % 2 == 0
-    row, of_class, inside, begin = lm_scoring.classes(counts, opens)
+    row, of_class, begin = lm_scoring.classes(counts, opens)
+    inside = lm_scoring.shares(counts, of_class)
     assert np.allclose(np.bincount(of_class, weights=np.exp(inside.astype(float)), minlength=lm_scoring.CLASSES)[np.unique(of_class)], 1, atol=1e-3)
     assert row.max() < lm_scoring.OWN_ROWS + lm_scoring.CLASSES and set(begin) == {0, 1}
+    model = lm_scoring.Model(_weights(np.random.default_rng(2), lm_scoring.OWN_ROWS + lm_scoring.CLASSES, 4, lm_scoring.CLASSES), row, of_class, inside, begin)
+    # classes without ids get no mass
+    model.par["bias"] = np.where(np.isin(np.arange(lm_scoring.CLASSES), of_class), model.par["bias"], -60)
+    ids = np.stack([np.full(lm_scoring.IDS, 5), np.arange(lm_scoring.IDS)], 1).ravel()
+    p, opening = model.scores(ids, np.repeat(np.arange(lm_scoring.IDS), 2))
+    assert abs(np.exp(p[::2].astype(float)).sum() - 1) < 1e-3
+    assert np.allclose(opening[::2], opening[0], atol=1e-4) and abs(np.exp(p[::2].astype(float))[begin[of_class] > 0].sum() - np.exp(opening[0])) < 1e-3
+    own, seen, gram = np.log([0.2, 0.3, 0.1, 0.4]), np.array([3.0, 1, 0, 6]), np.array([0.0, 2, 0, 1])
+    assert abs(lm_scoring.mixed(own, seen, 10, gram, 3.0, 0.3, 2.0).sum() - 1) < 1e-12
+
+
+def test_lm_counts_runs_of_the_whole_corpus(spark):
+    """Runs of three words and their first two are counted in all training documents, and in no other."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(("red", "green", "blue", "Red")) for _ in range(rnd.randint(0, 12))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    packed = lm_scoring.written(lm_scoring.blocks(docs))
+    rows = packed.mapInPandas(lm_scoring._counting(2, lm_scoring.is_training), lm_scoring._ASKED).groupBy("part").applyInPandas(lm_scoring._adding, lm_scoring._ANSWERS).toPandas()
+    want, contexts = Counter(), Counter()
+    units = [["^^", "^", *t.lower().split(), "$"] for t in texts]
+    for i, u in enumerate(units):
+        if lm_scoring.is_training(i):
+            want.update(zip(u, u[1:], u[2:], strict=False))
+            contexts.update(zip(u, u[1:-1], strict=False))
+    for r in packed.collect():
+        words = lm_scoring.words_of(lm_scoring._read(r)[0])
+        asked, (_, gram, context) = lm_scoring.Asked.of(words), lm_scoring.told(rows[rows["block"] == r.block])
+        own = [x for i in r.ids for x in zip(units[i], units[i][1:], units[i][2:], strict=False)]
+        assert gram[asked.gram_of].tolist() == [want[x] for x in own]
+        assert context[asked.gram_of].tolist() == [contexts[x[:2]] for x in own]
+
+
+def test_lm_trains_on_more_as_the_corpus_grows(spark, monkeypatch):
+    """Tasks learn from a share of all training documents; the frequencies within classes show how many ids that were."""
+    monkeypatch.setattr(lm_scoring, "TRAIN_DOCS", 8)
+    learnt = []
+    trained = lm_scoring.trained
+    monkeypatch.setattr(lm_scoring, "trained", lambda packed, model, *a: learnt.append((model, trained(packed, model, *a))) or learnt[-1][1])
+    shared = [i for i in range(4000) if lm_scoring.is_training(i) and lm_scoring.xxhash.xxh32_intdigest(f"red green blue {i}".encode()) % lm_scoring.SHARE == 0]
+    for n in (400, 4000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("red green blue "), F.col("id")).alias("text"))
+        got = lm_scoring.lm_scores(docs).collect()
+        assert len(got) == n
+        assert not np.allclose(learnt[-1][0].par["x"], learnt[-1][1].par["x"])
+    assert sum(i < 400 for i in shared) * 3 < len(shared)
+
+
+def test_lm_with_a_doc_id_that_many_rows_have(spark):
+    docs = spark.range(2000).select(F.lit(3).cast("long").alias("doc_id"), F.substring(F.md5(F.col("id").cast("string")), 1, 3).alias("text"))
+    assert len(lm_scoring.sampled(docs, lm_scoring.is_training)) == 1
+    assert lm_scoring.lm_scores(docs).count() == 2000
+
+
+def test_lm_scores_beat_the_base_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [r for r in lm_scoring.lm_scores(docs).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
 MIT = licenses.TEMPLATES[1][1]
@@ -254,7 +368,7 @@ def test_licenses(spark, docs, none):
     texts = {1: "Under the MIT License. And mit license", 2: f"x y {' '.join(changed)} z", 3: "Apache License, Version 2.0", 4: "nothing here", 5: None, 6: "", 7: "CC-BY-NC", 8: " ".join(MIT.split()[:12]), 9: "Released under the MIT license."}
     data = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(data).collect()}
-    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (7, 2, 2, 5, "mit")
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (7, 1, 0, 0, "mit")
     assert got[2].labels == "mit" and got[2].base_labels == "" and got[2].n_base == 0 and got[2].first_word is None and 0.9 < got[2].score < 1
     assert got[3].base_labels == "apache-2" and got[7].base_labels == "cc-by-nc" and got[9].labels == "mit"
     assert all(got[i].labels == "" and got[i].score == 0 for i in (4, 5, 6, 8))
@@ -270,6 +384,39 @@ def test_licenses_of_the_contract(spark, tmp_path):
     assert places == {1: (1, 0, 0, "mit", "mit", 1.0), 2: (0, None, None, "", "mit", 0.0), 3: (2, 2, 6, "mit", "mit", 1.0)}
 
 
+def brute_base(text):
+    """Words and places of the contract's phrases, character by character."""
+    words, now = [], ""
+    for c in (text or "") + " ":
+        if c.isascii() and not c.isalnum():
+            words, now = (words + [now] if now else words), ""
+        else:
+            now += c.lower() if c.isascii() else c
+    places, labels = [], set()
+    for phrase, label in (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")):
+        p = phrase.split()
+        found = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        places += found
+        labels |= {label} if found else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_licenses_against_brute_force(spark):
+    """The base columns of the query over a whole table."""
+    want = {r.doc_id: brute_base(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = licenses.query(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == want
+    for r in got:
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+
+
+def test_license_spans_of_a_long_text_with_many_notices(spark):
+    text = " and ".join(["Released under the MIT License."] * 500)
+    found = licenses.spans(spark.createDataFrame([(1, text, 5), (None, text, 5)], "doc_id long, text string, row long"), (("mit", "released under the mit license"),)).collect()
+    assert {r.first_word for r in found if r.doc_id == 1} == {r.first_word for r in found if r.doc_id is None}
+    assert len([r for r in found if r.doc_id == 1]) >= 1 and all(r.score == 1 for r in found)
+
+
 def edits(item, text):
     before = [0] * (len(text) + 1)
     for i, x in enumerate(item):
@@ -324,5 +471,27 @@ def test_decontamination_of_an_item_that_repeats_itself():
             assert [m[:2] for m in asked.matches(text)] == [(1, edits(item, text))], (a, b)
 
 
-def test_hash_of_texts():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_decontamination_of_letters_that_grow():
+    """One letter that is two when lower-cased shifts no place after it."""
+    text = "\u0130\u0130 x\u0130y, the quick brown fox jumps over it"
+    asked = decontaminate.Items([(1, "quick brown fox jumps")])
+    [(_, edits_, a, b)] = asked.matches(decontaminate.normal(text))
+    [(start, end)] = decontaminate.in_text(text, [(a, b)])
+    assert edits_ == 0 and text[start:end] == "quick brown fox jumps"
+
+
+def test_columns_that_clash_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, score double")
+    labels, bench = spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for call in (lambda: toxicity.toxicity(docs, labels, F.lit(True)), lambda: decontaminate.holds_any(docs.withColumnRenamed("score", "leaks"), bench), lambda: packing.place(docs.withColumnRenamed("score", "offset"), 1)):
+        with pytest.raises(ValueError, match="already"):
+            call()
+
+
+def test_toxicity_takes_one_text_for_an_id(spark, monkeypatch):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).unionByName(spark.createDataFrame([(2, "other")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    texts, y = toxicity.labelled(docs, labels, F.lit(True))
+    assert len(texts) == 2 and y == [1, 0]
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 6)
+    assert toxicity.labelled(docs, labels, F.lit(True)) == (["other"], [0])
