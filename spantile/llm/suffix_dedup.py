@@ -437,3 +437,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark, 1_000)
     out = repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT id, i, hash(substr(h, 2 * i + 1, 2 * {LENGTH})) AS s
+  FROM (SELECT id, h, unnest(range(0, length(h) // 2 - {LENGTH} + 1)) AS i FROM texts)),
+repeated AS (
+  SELECT id, i FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+islands AS (
+  SELECT id, i, sum(CASE WHEN i <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS span
+  FROM (SELECT id, i, lag(i) OVER (PARTITION BY id ORDER BY i) AS before FROM repeated)),
+spans AS (SELECT id, span, min(i) AS low, max(i) + {LENGTH} AS high FROM islands GROUP BY id, span),
+parts AS (
+  SELECT id, low, high, coalesce(lag(high) OVER (PARTITION BY id ORDER BY low), 0) AS kept_from FROM spans),
+kept AS (
+  SELECT id, count(*) AS n_spans, sum(high - low) AS n_removed,
+         string_agg(substr(h, 2 * kept_from + 1, 2 * (low - kept_from)), '' ORDER BY low) || substr(any_value(h), 2 * max(high) + 1) AS h
+  FROM parts JOIN texts USING (id) GROUP BY id)
+SELECT doc_id, length(texts.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.h, texts.h))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (id)
+"""
