@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.pattern import Grammar, PatternError, parse, parse_file
+from ..plans.pattern import Grammar, PatternError, Rule, parse, parse_file
 from ..sources.rules import rules_from_gz
-from .match import match_texts, nested
-from .phrases import chunk_of
-from .resolve import priority, resolve, spanned, within_span
-from .tokens import parsed
+from .inrow import matched, phrase_numbers
+from .match import nested
+from .resolve import level_number, resolved, span_of, spans_enough
 
 
 @dataclass(frozen=True)
@@ -55,32 +55,43 @@ class PatternSet:
         return spark.createDataFrame(rows, f"ord int, rule string, levels array<string>, description string, connection string, examples {examples}, max_span int, captures boolean")
 
     def raw(self, tokens: DataFrame, keys: list[str], rules: list[str] | None = None) -> DataFrame:
-        return match_texts(nested(tokens, keys), self.grammar, keys, rules)
+        """keys, rule, ord, s, e and fixed of each rule's matches, or of those that are named."""
+        found = matched(nested(tokens, keys), self.grammar, rules)
+        return found.select(*keys, F.explode("matches").alias("m")).select(*keys, "m.rule", "m.ord", "m.s", "m.e", "m.fixed")
 
     def find(self, tokens: DataFrame, keys: list[str], rule: str) -> DataFrame:
         """The matches of one rule; of an unknown one there are none."""
-        return self.enriched(self.raw(tokens, keys, [rule]), tokens, keys)
+        return self._told(matched(nested(tokens, keys), self.grammar, [rule]), keys)
 
     def test(self, tokens: DataFrame, keys: list[str], rule: str) -> DataFrame:
         """keys and ``hit`` of each text."""
-        found = self.raw(tokens, keys, [rule]).select(*keys).distinct().withColumn("hit", F.lit(True))
-        return tokens.select(*keys).distinct().join(found, keys, "left").fillna(False, ["hit"])
+        return matched(nested(tokens, keys), self.grammar, [rule]).select(*keys, (F.size("matches") > 0).alias("hit"))
 
     def find_all(self, tokens: DataFrame, keys: list[str]) -> DataFrame:
-        """The matches of all rules that stay, in order of start, then of falling end."""
-        rules = F.broadcast(self.rules(tokens.sparkSession).select("ord", priority(F.col("levels")).alias("p"), "max_span"))
-        found = self.raw(tokens, keys).join(rules, "ord")
-        kept = resolve(found, keys, ["rule", "fixed", "max_span"])
-        placed = spanned(kept, chunk_of(parsed(tokens), keys), keys)
-        within = within_span(placed, F.col("max_span")).drop("max_span")
-        return self._told(within, tokens, keys)
-
-    def enriched(self, matches: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
-        return self._told(spanned(matches, chunk_of(parsed(tokens), keys), keys), tokens, keys)
-
-    def _told(self, matches: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
-        rules = F.broadcast(self.rules(tokens.sparkSession).select("ord", "levels", "description", "connection", "examples", priority(F.col("levels")).alias("level")))
-        out = matches.join(nested(tokens, keys), keys).join(rules, "ord")
-        out = out.withColumn("nodes", F.slice("tokens", F.col("s") + 1, F.col("e") - F.col("s")))
-        columns = [*keys, "ord", "rule", "s", "e", "fixed", "nodes", "levels", "description", "connection", "examples", "chunk_s", "chunk_e", "span"]
-        return out.orderBy(*keys, "s", F.desc("e"), F.asc_nulls_first("level"), "ord").select(*columns)
+        """The matches of all rules that stay; those of a text in order of start, then of falling end.
+
+        The tokens are nested once, and from there on a text's matches are found, resolved and placed within its row.
+        """
+        texts = matched(nested(tokens, keys), self.grammar)
+        level, most = self._by_rule(lambda r: level_number(r.levels), "int"), self._by_rule(lambda r: r.max_span, "int")
+        leveled = F.transform("matches", lambda m: F.struct(F.get(level, m["ord"]).alias("p"), (m["s"] - m["e"]).alias("nl"), m["s"].alias("s"), m["ord"].alias("ord"), m["e"].alias("e"), m["rule"].alias("rule"), m["fixed"].alias("fixed")))
+        texts = texts.withColumns({"matches": resolved(F.sort_array(leveled)), "phrases": phrase_numbers(F.col("tokens"))})
+        spanned_ = F.transform("matches", lambda m: m.withField("span", span_of(F.get("phrases", m["s"]), F.get("phrases", m["e"] - 1))))
+        return self._told(texts.withColumn("matches", F.filter(spanned_, lambda m: spans_enough(m, F.get(most, m["ord"])))), keys)
+
+    def _by_rule(self, of: Callable[[Rule], object], kind: str) -> Column:
+        """A value of each rule, by its place."""
+        return F.array(*[F.lit(of(r)).cast(kind) for r in self.grammar.rules]) if self.grammar.rules else F.array().cast(f"array<{kind}>")
+
+    def _told(self, texts: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows of the matches in ``texts`` (keys, tokens, matches), with all that belongs to them."""
+        level = self._by_rule(lambda r: level_number(r.levels), "int")
+        if "phrases" not in texts.columns:
+            texts = texts.withColumn("phrases", phrase_numbers(F.col("tokens")))
+        # -1 stands for no level, which sorts first
+        ordered = F.sort_array(F.transform("matches", lambda m: F.struct(m["s"].alias("s"), (-m["e"]).alias("minus"), F.coalesce(F.get(level, m["ord"]), F.lit(-1)).alias("level"), m["ord"].alias("ord"), m["e"].alias("e"), m["rule"].alias("rule"), m["fixed"].alias("fixed"))))
+        rules = F.broadcast(self.rules(texts.sparkSession).select("ord", "levels", "description", "connection", "examples"))
+        rows = texts.withColumn("matches", ordered).select(*keys, "tokens", "phrases", F.posexplode("matches").alias("_place", "m"))
+        rows = rows.select(*keys, "m.ord", "m.rule", "m.s", "m.e", "m.fixed", F.slice("tokens", F.col("m.s") + 1, F.col("m.e") - F.col("m.s")).alias("nodes"), F.get("phrases", F.col("m.s")).alias("chunk_s"), F.get("phrases", F.col("m.e") - 1).alias("chunk_e"))
+        out = rows.join(rules, "ord").withColumn("span", span_of(F.col("chunk_s"), F.col("chunk_e")))
+        return out.select(*keys, "ord", "rule", "s", "e", "fixed", "nodes", "levels", "description", "connection", "examples", "chunk_s", "chunk_e", "span")

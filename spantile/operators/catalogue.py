@@ -10,8 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-KANA, HAN = r"[\x{3040}-\x{30FF}]", r"[\x{3400}-\x{9FFF}]"
+from ..plans.pattern import parse
+from ..sources.rules import rule_id
+from .match import match_texts, nested
+
 TAG = r"<[^>]*>"
+# Scripts by their code points, sites by a part of their address, and the words by which pages name their parts.
+HIRAGANA, KANA, HAN = r"[\x{3040}-\x{309F}]", r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}]", r"[\x{4E00}-\x{9FFF}]"
+SITES = {"mainichi-nonbiri": "mainichi_nonbiri", "nihongokyoshi-net": "nihongokyoshi_net"}
+PARTS = {"description": ("解説",), "connection": ("接続", "つなぎ方"), "meaning": ("意味",)}
+EXAMPLES, CONNECTION = "例文", ("接続", "つなぎ方", "Vて", "Nの")
+#: Elements whose text is one part of a section; one within another of its own kind ends at the first end tag.
+BLOCKS = "p|div|ul|ol|dl|table|blockquote|pre|section|figure"
+TRANSLATIONS = "array<struct<lang: string, text: string>>"
 
 
 # ---------------------------------------------------------------- pages
@@ -29,7 +40,7 @@ def fetch(url: str, get: Callable[[str], str] | None = None, tries: int = 5, wai
     return None
 
 
-def source_of(url: Column, known: dict[str, str], otherwise: str = "other") -> Column:
+def source_of(url: Column, known: dict[str, str] = SITES, otherwise: str = "unknown") -> Column:
     """The name of the first part that a URL holds."""
     out = F.lit(otherwise)
     for part, name in reversed(known.items()):
@@ -41,12 +52,21 @@ def half_width_digits(text: Column) -> Column:
     return F.translate(text, "０１２３４５６７８９", "0123456789")
 
 
-def plain(html: Column) -> Column:
-    """The text of a piece of HTML: without tags, with the common entities resolved, blanks as one."""
+def unmarked(html: Column) -> Column:
+    """The text of a piece of HTML: without tags, with the common entities resolved; blanks and lines as they are."""
     text = F.regexp_replace(html, TAG, "")
     for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(c))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return text
+
+
+def plain(html: Column) -> Column:
+    """The text of a piece of HTML, with blanks as one."""
+    return F.trim(F.regexp_replace(unmarked(html), r"\s+", " "))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def title_of(html: Column) -> Column:
@@ -56,30 +76,51 @@ def title_of(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(found, r"(?s)\s*[|｜].*$", ""), r"(?s)の意味.*$", ""))
 
 
-def level_of(text: Column) -> Column:
-    """N1 to N5 by the most telling mark."""
-    low = half_width_digits(text)
-    marks = [F.concat(F.lit("N"), F.nullif(F.regexp_extract(low, p, 1), F.lit(""))) for p in (r"【Ｎ([0-9])文法】", r"(?i)JLPT\s*N([1-5])", r"N([1-5])")]
-    return F.coalesce(*marks)
+def level_of(title: Column, html: Column) -> Column:
+    """The title's mark in full-width characters, else the first level after JLPT, else the first at all, else nothing."""
+    marked = half_width_digits(F.regexp_extract(title, r"【Ｎ([０-９])文法】", 1))
+    first = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
+    return F.coalesce(F.when(marked != "", F.concat(F.lit("N"), marked)), first(r"(?i)JLPT\s*(N[1-5])"), first(r"(N[1-5])"), F.lit(""))
 
 
-def sections(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, place, heading and body of each part of a page that an h2 or h3 begins."""
-    parts = F.split(html, r"(?i)(?=<h[23][ >])", -1)
-    rows = pages.select(key, F.posexplode(parts).alias("place", "part"))
-    pattern = r"(?is)^<h([23])[^>]*>(.*?)</h\1>(.*)$"
-    return rows.where(F.col("part").rlike(r"(?is)^<h[23][ >]")).select(key, "place", plain(F.regexp_extract("part", pattern, 2)).alias("heading"), plain(F.regexp_extract("part", pattern, 3)).alias("body"))
+def name_of(title: Column) -> Column:
+    """The title without its mark of a level."""
+    return F.trim(F.regexp_replace(title, r"【Ｎ[０-９]文法】", ""))
 
 
-def first_sections(found: DataFrame, key: str, words: dict[str, tuple[str, ...]]) -> DataFrame:
-    """key and, for each name, the body of the first section whose heading holds one of its words."""
-    cases = []
-    for name, keywords in words.items():
-        hit = F.lit(False)
-        for w in keywords:
-            hit = hit | F.col("heading").contains(w)
-        cases.append(F.min_by(F.when(hit, F.col("body")), F.when(hit, F.col("place"))).alias(name))
-    return found.groupBy(key).agg(*cases)
+def sections(html: Column) -> Column:
+    """The parts of a page that an h2, h3 or h4 begins: array of heading and parts (the text of each element up to the next heading)."""
+    cut = F.filter(F.split(html, r"(?i)(?=<h[234][ >])", -1), lambda x: x.rlike(r"(?is)^<h([234])[^>]*>.*?</h\1>"))
+    pattern = r"(?is)^<h([234])[^>]*>(.*?)</h\1>(.*)$"
+
+    def part(x: Column) -> Column:
+        elements = F.regexp_extract_all(F.regexp_extract(x, pattern, 3), F.lit(rf"(?is)<({BLOCKS})\b[^>]*>.*?</\1>"), F.lit(0))
+        texts = F.filter(F.transform(elements, lambda e: _trimmed(unmarked(e))), lambda t: t != "")
+        return F.struct(plain(F.regexp_extract(x, pattern, 2)).alias("heading"), texts.alias("parts"))
+
+    return F.transform(cut, part)
+
+
+def first_sections(found: Column, words: dict[str, tuple[str, ...]] = PARTS) -> Column:
+    """A struct of the text of the first section for each name: one whose heading holds one of its words.
+
+    A section without text counts for nothing, and one section for one name: the first whose words it has and that has none yet.
+    """
+    names = list(words)
+    start = F.struct(*[F.lit("").alias(n) for n in names])
+
+    def step(held: Column, x: Column) -> Column:
+        taken, fields = F.size(x["parts"]) == 0, []
+        for n in names:
+            hit = F.lit(False)
+            for w in words[n]:
+                hit = hit | x["heading"].contains(w)
+            mine = ~taken & hit & (held[n] == "")
+            fields.append(F.when(mine, F.array_join(x["parts"], "\n")).otherwise(held[n]).alias(n))
+            taken = taken | mine
+        return F.struct(*fields)
+
+    return F.aggregate(found, start, step)
 
 
 def language_of(text: Column) -> Column:
@@ -87,34 +128,74 @@ def language_of(text: Column) -> Column:
     return F.when(text.rlike(HAN) & ~text.rlike(KANA), "zh").when(text.rlike("^[A-Za-z]"), "en")
 
 
-def numbered_examples(lines: DataFrame, key: str) -> DataFrame:
-    """Lines (key, place, line) as examples: key, number, lang and text; lines after ``(1) sentence`` are its translations."""
-    number = F.regexp_extract(half_width_digits(F.col("line")), r"^\s*[(（]([0-9]+)[)）]", 1)
-    along = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    held = lines.withColumn("own", F.when(number != "", number.cast("int"))).withColumn("number", F.last("own", ignorenulls=True).over(along)).where(F.col("number").isNotNull())
-    said = F.trim(F.when(F.col("own").isNotNull(), F.regexp_replace("line", r"^\s*[(（][0-9０-９]+[)）]\s*", "")).otherwise(F.col("line")))
-    return held.select(key, "place", "number", F.when(F.col("own").isNotNull(), "ja").otherwise(language_of(said)).alias("lang"), said.alias("text")).where("lang IS NOT NULL AND text <> ''")
+def numbered_examples(found: Column) -> Column:
+    """The examples of the first section for them: array of sentence and translations.
 
+    In each element's text a line ``(1) sentence`` begins an example, and the lines after it are its translations where
+    their language can be told; a number without a sentence begins nothing, and ends the one before.
+    """
+    number = r"^[（(]\s*[0-9０-９]+\s*[）)]"
+    section = F.get(F.filter(found, lambda x: x["heading"].contains(EXAMPLES)), 0)
+    unplayed = lambda t: F.trim(F.regexp_replace(t, r"\s*▶\s*$", ""))
+    kind = f"array<struct<sentence: string, translations: {TRANSLATIONS}>>"
 
-def links(pages: DataFrame, key: str, html: str, holding: list[str] | None = None) -> DataFrame:
-    """key, place, href and text of the links with a text, or of those whose href holds one of ``holding``."""
-    anchors = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>"""), F.lit(0))).alias("place", "a"))
-    out = anchors.select(key, "place", F.regexp_extract("a", r"""(?is)href="([^"]*)\"""", 1).alias("href"), plain(F.regexp_extract("a", r"(?is)^<a[^>]*>(.*)</a>$", 1)).alias("text")).where("text <> ''")
-    if holding is None:
-        return out
+    def step(held: Column, line: Column) -> Column:
+        begins, said = line.rlike(number), unplayed(line)
+        rest = _trimmed(F.regexp_replace(line, number, ""))
+        sentence = F.when(rest != "", unplayed(rest))
+        one = F.struct(sentence.alias("sentence"), F.array().cast(TRANSLATIONS).alias("translations"))
+        last, lang = F.element_at(held, -1), language_of(said)
+        more = F.struct(last["sentence"].alias("sentence"), F.concat(last["translations"], F.array(F.struct(lang.alias("lang"), said.alias("text")))).alias("translations"))
+        return F.when(begins, F.concat(held, F.array(one))).when((F.size(held) > 0) & lang.isNotNull(), F.concat(F.slice(held, 1, F.size(held) - 1), F.array(more))).otherwise(held)
+
+    def of(part: Column) -> Column:
+        lines = F.filter(F.transform(F.split(part, "\n"), _trimmed), lambda x: x != "")
+        return F.filter(F.aggregate(lines, F.array().cast(kind), step), lambda x: x["sentence"].isNotNull())
+
+    return F.coalesce(F.flatten(F.transform(section["parts"], of)), F.array().cast(kind))
+
+
+def records(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``pages`` with rule_name, levels, name, description (with the meaning), connection, pattern (empty), examples and source."""
+    title = title_of(F.col(html))
+    out = pages.withColumns({"_title": title, "_sections": sections(F.col(html))}).withColumn("_first", first_sections(F.col("_sections")))
+    about, meaning = F.col("_first.description"), F.col("_first.meaning")
+    said = F.when(meaning == "", about).when(about == "", meaning).otherwise(F.concat(about, F.lit("\n\n【意味】\n"), meaning))
+    return out.withColumns(
+        {"rule_name": rule_id(F.col(url)), "levels": level_of(F.col("_title"), F.col(html)), "name": name_of(F.col("_title")), "description": said, "connection": F.col("_first.connection"), "pattern": F.lit(""), "examples": numbered_examples(F.col("_sections")), "source": source_of(F.col(url))}
+    ).drop("_title", "_sections", "_first")
+
+
+_HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def href_of(anchor: Column) -> Column:
+    """The address of a link, in quotes of either kind or in none."""
+    return F.concat(*[F.regexp_extract(anchor, _HREF, i) for i in (1, 2, 3)])
+
+
+def _holding(column: Column, parts: tuple[str, ...]) -> Column:
     hit = F.lit(False)
-    for part in holding:
-        hit = hit | F.col("href").contains(part)
-    return out.where(hit)
+    for part in parts:
+        hit = hit | column.contains(part)
+    return hit
 
 
-def links_by_level(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Links with the level that the heading before them names."""
-    marks = F.regexp_extract_all(html, F.lit(r"""(?is)<h[1-6][^>]*>.*?</h[1-6]>|<a\s[^>]*href="[^"]*"[^>]*>.*?</a>"""), F.lit(0))
+def links(pages: DataFrame, key: str, html: str, holding: tuple[str, ...] | None = ("/grammar/", "grammar-")) -> DataFrame:
+    """key, place, href and text of the links with an address and a text, whose address holds one of ``holding`` (null: any)."""
+    anchors = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*href\s*=[^>]*>.*?</a>"), F.lit(0))).alias("place", "a"))
+    out = anchors.select(key, "place", href_of(F.col("a")).alias("href"), plain(F.col("a")).alias("text")).where("text <> '' AND href <> ''")
+    return out if holding is None else out.where(_holding(F.col("href"), holding))
+
+
+def links_by_level(pages: DataFrame, key: str, html: str, holding: tuple[str, ...] = ("grammar", "jlpt")) -> DataFrame:
+    """key, place, href, text and level of the links under an h2 or h3 that names a level."""
+    marks = F.regexp_extract_all(html, F.lit(r"(?is)<h([23])\b[^>]*>.*?</h\1>|<a\s[^>]*href\s*=[^>]*>.*?</a>"), F.lit(0))
     rows = pages.select(key, F.posexplode(marks).alias("place", "mark")).withColumn("heading", F.when(F.col("mark").rlike("(?i)^<h"), plain(F.col("mark"))))
     along = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    held = rows.withColumn("level", level_of(F.last("heading", ignorenulls=True).over(along))).where("heading IS NULL")
-    return held.select(key, "place", F.regexp_extract("mark", r"""(?is)href="([^"]*)\"""", 1).alias("href"), plain(F.col("mark")).alias("text"), "level").where("text <> ''")
+    held = rows.withColumn("level", F.regexp_extract(F.last("heading", ignorenulls=True).over(along), "(N[1-5])", 1)).where("heading IS NULL AND level <> ''")
+    out = held.select(key, "place", href_of(F.col("mark")).alias("href"), plain(F.col("mark")).alias("text"), "level")
+    return out.where(_holding(F.col("href"), holding))
 
 
 def absolute(href: Column, root: str) -> Column:
@@ -126,14 +207,26 @@ def first_place_last_value(rows: DataFrame, by: str, place: str, columns: list[s
     return rows.groupBy(by).agg(F.min(place).alias(place), F.max_by(F.struct(*columns), place).alias("v")).select(by, place, *[f"v.{c}" for c in columns])
 
 
-def top_examples(lines: DataFrame, key: str, without: tuple[str, ...] = (), most: int = 5, low: int = 5, high: int = 150, letters: str | None = f"{KANA}|{HAN}") -> DataFrame:
-    """The first ``most`` different lines (key, place, line) of each key that may be examples: key, rank, line."""
-    line = F.trim(F.regexp_replace("line", r"^[\s・●○◆■▶*\-]+", ""))
-    rows = lines.select(key, "place", line.alias("line")).where((F.char_length("line") > low) & (F.char_length("line") < high))
-    if letters:
-        rows = rows.where(F.col("line").rlike(letters))
-    for word in without:
-        rows = rows.where(~F.col("line").contains(word))
+def head(text: Column, most: int) -> Column:
+    """The first characters of a text (code points, where others count surrogates)."""
+    return F.substring(_trimmed(text), 1, most)
+
+
+def connection_of(texts: Column, most: int = 100) -> Column:
+    """Of the texts of a page's elements, what the first that names a connection says of it; else nothing."""
+    pattern = r"(?:接続|つなぎ方)[：:]?\s*(.+)"
+    said = F.filter(F.transform(texts, _trimmed), lambda t: _holding(t, CONNECTION) & t.rlike(pattern))
+    return F.coalesce(head(F.regexp_extract(F.get(said, 0), pattern, 1), most), F.lit(""))
+
+
+def top_examples(lines: DataFrame, key: str, most: int = 5, low: int = 5, high: int = 150, without: tuple[str, ...] = ("接続", "意味"), letters: str | None = f"{HIRAGANA}|{HAN}") -> DataFrame:
+    """The first ``most`` different lines (key, place, line) of each key that may be examples: key, rank, line.
+
+    A line is judged as it stands; a number before it goes after that.
+    """
+    line = F.trim("line")
+    fit = (F.char_length(line) > low) & (F.char_length(line) < high) & ~_holding(line, without)
+    rows = lines.where(fit & line.rlike(letters) if letters else fit).select(key, "place", F.trim(F.regexp_replace(line, r"^[①②③④⑤⑥⑦⑧⑨⑩0-9]+[.)）]\s*", "")).alias("line")).where("line <> ''")
     once = rows.groupBy(key, "line").agg(F.min("place").alias("place"))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("rank") <= most).select(key, "rank", "line")
 
@@ -163,26 +256,50 @@ def read_updates(lines: DataFrame) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Records by rule_name: new ones are added; of known ones all but the pattern is renewed, and a manual source stays."""
+    """Records by rule_name: new ones are added; of known ones all but the pattern is renewed, and a manual source stays.
+
+    Known records keep their id and created_at; new ones get the ids after the largest, in order of rule_name (they are as
+    many as people have written since).  ``new`` may lack id and the times.
+    """
     fields = ("levels", "name", "description", "connection", "source_url")
     o, n = old.select(F.struct("*").alias("o")), new.select(F.struct("*").alias("n"))
     both = o.join(n, F.col("o.rule_name") == F.col("n.rule_name"), "full")
     known, renewed = F.col("o.rule_name").isNotNull(), F.col("n.rule_name").isNotNull()
     pick = lambda c: F.when(renewed, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     source = F.when(renewed & ~(known & F.coalesce(F.col("o.source") == "manual", F.lit(False))), F.col("n.source")).otherwise(F.col("o.source"))
-    return both.select(F.coalesce("o.rule_name", "n.rule_name").alias("rule_name"), *map(pick, fields), F.when(known, F.col("o.pattern")).otherwise(F.col("n.pattern")).alias("pattern"), source.alias("source"), F.when(renewed, F.current_timestamp()).otherwise(F.col("o.updated_at")).alias("updated_at"))
+    out = both.select(F.col("o.id").alias("id"), F.coalesce("o.rule_name", "n.rule_name").alias("rule_name"), *map(pick, fields), F.when(known, F.col("o.pattern")).otherwise(F.col("n.pattern")).alias("pattern"), source.alias("source"), F.when(known, F.col("o.created_at")).otherwise(F.current_timestamp()).alias("created_at"), F.when(renewed, F.current_timestamp()).otherwise(F.col("o.updated_at")).alias("updated_at"))
+    last = out.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    added = out.where("id IS NULL").drop("id").withColumn("_n", F.row_number().over(Window.orderBy("rule_name"))).crossJoin(F.broadcast(last))
+    names = ["id", "rule_name", "levels", "name", "description", "connection", "pattern", "source", "source_url", "created_at", "updated_at"]
+    return out.where("id IS NOT NULL").select(*names).unionByName(added.withColumn("id", F.col("_last") + F.col("_n")).select(*names))
 
 
 def replaced_examples(old: DataFrame, new: DataFrame, excluded: DataFrame, manual: DataFrame) -> DataFrame:
     """Examples (grammar_id, sentence, lang, sort_order) after grammars' new ones took the old ones' place.
 
-    new: grammar_id and the array ``sentences``.  Grammars in ``manual`` (grammar_id), and those whose array is empty, keep
-    theirs.  Excluded sentences are left out; the others keep their place in the array, gaps and all.
+    new: grammar_id and the array ``examples`` of sentence and translations, or ``sentences`` of plain ones.  Grammars in
+    ``manual`` (grammar_id), and those whose array is empty, keep theirs.  Excluded sentences are left out, with their
+    translations; the others keep their place in the array, gaps and all.  A translation has its sentence's place.
     """
-    taken = new.where(F.size("sentences") > 0).join(manual, "grammar_id", "left_anti")
-    rows = taken.select("grammar_id", F.posexplode("sentences").alias("sort_order", "sentence")).join(excluded, ["grammar_id", "sentence"], "left_anti")
+    if "examples" not in new.columns:
+        new = new.select("grammar_id", F.transform("sentences", lambda s: F.struct(s.alias("sentence"), F.array().cast(TRANSLATIONS).alias("translations"))).alias("examples"))
+    taken = new.where(F.size("examples") > 0).join(manual, "grammar_id", "left_anti")
+    rows = taken.select("grammar_id", F.posexplode("examples").alias("sort_order", "x")).select("grammar_id", "sort_order", "x.sentence", "x.translations").join(excluded, ["grammar_id", "sentence"], "left_anti")
+    own = F.array(F.struct(F.lit("ja").alias("lang"), F.col("sentence").alias("text")))
+    said = rows.select("grammar_id", "sort_order", F.explode(F.concat(own, "translations")).alias("t"))
     kept = old.join(taken.select("grammar_id"), "grammar_id", "left_anti").select("grammar_id", "sentence", "lang", "sort_order")
-    return kept.unionByName(rows.select("grammar_id", "sentence", F.lit("ja").alias("lang"), "sort_order"))
+    return kept.unionByName(said.select("grammar_id", F.col("t.text").alias("sentence"), F.col("t.lang").alias("lang"), "sort_order"))
+
+
+def example_counts(grammars: DataFrame, examples: DataFrame) -> DataFrame:
+    """Each grammar's id and its number of examples, none included."""
+    own = examples.groupBy(F.col("grammar_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return grammars.select("id").join(own, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def totals(grammars: DataFrame, examples: DataFrame) -> DataFrame:
+    """One row: the number of grammars and of examples."""
+    return grammars.agg(F.count(F.lit(1)).alias("grammars")).crossJoin(examples.agg(F.count(F.lit(1)).alias("examples")))
 
 
 def with_pattern(rules: DataFrame) -> DataFrame:
@@ -207,6 +324,36 @@ def filtered(rules: DataFrame, name: str | None = None, level: str | None = None
 
 
 def conformance(hits: DataFrame) -> DataFrame:
-    """For hits (rule, hit; null: skipped): rule, passed (all its examples match), matched, failed, skipped."""
-    count = lambda c: F.sum(c.cast("long"))
-    return hits.groupBy("rule").agg(F.coalesce(F.bool_and("hit"), F.lit(False)).alias("passed"), F.coalesce(count(F.col("hit")), F.lit(0)).alias("matched"), F.coalesce(count(~F.col("hit")), F.lit(0)).alias("failed"), count(F.col("hit").isNull()).alias("skipped"))
+    """For hits (rule, hit; null: the rule has no example): rule, passed (all its examples match; null if it has none), matched, failed."""
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return hits.groupBy("rule").agg(F.bool_and("hit").alias("passed"), count(F.col("hit")).alias("matched"), count(~F.col("hit")).alias("failed"))
+
+
+def conformance_of(rules: DataFrame, examples: DataFrame, excluded: DataFrame, tokenize: Callable[[DataFrame], DataFrame], fail_limit: int | None = None) -> DataFrame:
+    """Whether each rule's own examples match it: id, rule, passed (null: skipped, it has none), matched, failed.
+
+    rules: id, rule_name, pattern; examples: grammar_id, sentence, lang, sort_order; excluded: grammar_id, sentence.
+    tokenize makes token rows (grammar_id, example, idx, surface, feature) of rows of grammar_id, example and text.  All rules
+    are one grammar, as they may refer to each other; a rule without a pattern is not tested.  After fail_limit failures, by
+    id, no more rules are reported.
+    """
+    asked = with_pattern(rules).select("id", "rule_name", "pattern")
+    lines = asked.orderBy("id").collect()  # the grammar: as many rules as people have written
+    grammar = parse("\n".join(f"{r['rule_name']} = {r['pattern']} ;" for r in lines))
+    own = without_pairs(examples.where("lang = 'ja'"), excluded).withColumn("text", F.trim("sentence")).where("text <> ''")
+    own = own.join(asked.select(F.col("id").alias("grammar_id"), "rule_name"), "grammar_id").select("grammar_id", "rule_name", F.xxhash64("sort_order", "text").alias("example"), "text")
+    keys = ["grammar_id", "example"]
+    texts = nested(tokenize(own.select(*keys, "text")), keys).join(own.select(*keys, "rule_name").distinct(), keys)
+    matched = match_texts(texts, grammar, keys, by="rule_name").select(*keys).distinct().withColumn("hit", F.lit(True))
+    hits = own.select(*keys, "rule_name").distinct().join(matched, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    found = conformance(asked.select(F.col("id").alias("rule")).join(hits.select(F.col("grammar_id").alias("rule"), "hit"), "rule", "left"))
+    out = found.join(asked.select(F.col("id").alias("rule"), "rule_name"), "rule").select(F.col("rule").alias("id"), F.col("rule_name").alias("rule"), "passed", "matched", "failed")
+    if fail_limit is None:
+        return out
+    before = F.sum(F.coalesce(~F.col("passed"), F.lit(False)).cast("int")).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < fail_limit).drop("_before")
+
+
+def conformance_totals(report: DataFrame) -> DataFrame:
+    """One row: tested, passed, failed and skipped rules."""
+    return report.agg(F.count("passed").alias("tested"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if(F.col("passed").isNull()).alias("skipped"))

@@ -11,10 +11,17 @@ def of_rules(matches: DataFrame, names: list[str]) -> DataFrame:
     return matches.where(F.col("rule").isin(*names)) if names else matches
 
 
-def bracketed(tokens: Column, s: Column, e: Column) -> Column:
-    """The text of tokens (with a surface), the span in brackets."""
-    text = lambda a, n: F.array_join(F.transform(F.slice(tokens, a, n), lambda t: t["surface"]), "")
-    return F.concat(text(F.lit(1), s), F.lit("["), text(s + 1, e - s), F.lit("]"), text(e + 1, F.greatest(F.size(tokens) - e, F.lit(0))))
+def bracketed(nodes: Column, fixed: Column, s: Column) -> Column:
+    """The words of a match (``nodes``, of which the first stands at ``s``), those that a test has read in brackets."""
+    one = lambda n, i: F.when(F.array_contains(fixed, i + s), F.concat(F.lit("["), n["surface"], F.lit("]"))).otherwise(n["surface"])
+    return F.array_join(F.transform(nodes, one), " ")
+
+
+def match_line(levels: Column, rule: Column, fixed: Column) -> Column:
+    """A match in one line: levels, rule and the words that its tests have read."""
+    pad = lambda x, n: F.concat(x, F.repeat(F.lit(" "), F.greatest(n - F.char_length(x), F.lit(0))))
+    named = F.when(F.size(levels) > 0, F.array_join(levels, "/")).otherwise("N?")
+    return F.concat_ws(" ", pad(named, 6), pad(rule, 30), F.concat(F.lit("fixed: "), F.array_join(fixed, " ")))
 
 
 def fixed_surfaces(nodes: Column, fixed: Column, s: Column) -> Column:

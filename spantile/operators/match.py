@@ -8,15 +8,17 @@ token test has read, by the first way through the pattern, shortest parts first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Any, Choice, Grammar, Ref, Repeat, Rule, Sequence, Token
 
 FIELDS = ("pos0", "pos1", "pos2", "pos3", "ctype", "cform", "base")
 MATCH_SCHEMA = "rule string, ord int, s int, e int, fixed array<int>"
+MATCHES = "array<struct<rule: string, ord: int, s: int, e: int, fixed: array<int>>>"
 
 
 def features(feature: str) -> list[str]:
@@ -284,10 +286,11 @@ def _recursive(grammar: Grammar, name: str) -> bool:
     return False
 
 
-def match_texts(texts: DataFrame, grammar: Grammar, keys: list[str], rules: list[str] | None = None) -> DataFrame:
+def match_texts(texts: DataFrame, grammar: Grammar, keys: list[str], rules: list[str] | None = None, by: str | None = None) -> DataFrame:
     """Raw matches of each rule (or of the first rule of each given name) in ``texts``.
 
-    texts: the key columns and ``tokens array<struct<surface, feature>>`` in order.  Returns the keys and MATCH_SCHEMA.
+    texts: the key columns and ``tokens array<struct<surface, feature>>`` in order.  by: a column of ``texts`` that names the
+    rule to be tried on each.  Returns the keys and MATCH_SCHEMA.
     """
     chosen = [(i, r) for i, r in enumerate(grammar.rules) if rules is None or (r.name in rules and grammar.rule(r.name) is r)]
     schema = ", ".join(f"`{k}` {dict(texts.dtypes)[k]}" for k in keys)
@@ -296,14 +299,32 @@ def match_texts(texts: DataFrame, grammar: Grammar, keys: list[str], rules: list
         known: dict = {}
         for batch in batches:
             rows = []
-            for key, tokens in zip(batch[keys].itertuples(index=False), batch["tokens"], strict=True):
+            for key, tokens, name in zip(batch[keys].itertuples(index=False), batch["tokens"], batch[by] if by else repeat(None), strict=False):
                 m = Matcher(grammar, Tokens([t["surface"] for t in tokens], [t["feature"] or "" for t in tokens], known))
-                rows += [(*key, r.name, i, s, e, list(fixed)) for i, r in chosen for s, e, fixed in m.find(r)]
+                rows += [(*key, r.name, i, s, e, list(fixed)) for i, r in chosen if by is None or r.name == name and grammar.rule(name) is r for s, e, fixed in m.find(r)]
             if len(known) > 1_000_000:
                 known.clear()
             yield pd.DataFrame(rows, columns=[*keys, "rule", "ord", "s", "e", "fixed"])
 
-    return texts.select(*keys, "tokens").mapInPandas(run, f"{schema}, {MATCH_SCHEMA}")
+    return texts.select(*keys, "tokens", *([by] if by else [])).mapInPandas(run, f"{schema}, {MATCH_SCHEMA}")
+
+
+def match_column(surfaces: Column, features_: Column, grammar: Grammar, chosen: list[tuple[int, Rule]]) -> Column:
+    """The raw matches of some rules (place and rule) in the tokens of a row, as an array."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict = {}
+        for words, feats in batches:
+            out = []
+            for own, feat in zip(words, feats, strict=True):
+                m = Matcher(grammar, Tokens(list(own), [f or "" for f in feat], known))
+                out.append([{"rule": r.name, "ord": i, "s": s, "e": e, "fixed": list(fixed)} for i, r in chosen for s, e, fixed in m.find(r)])
+            if len(known) > 1_000_000:
+                known.clear()
+            yield pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, MATCHES)(surfaces, features_)
 
 
 def nested(tokens: DataFrame, keys: list[str]) -> DataFrame:

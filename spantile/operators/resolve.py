@@ -6,9 +6,13 @@ one fold over an array, inside the row, without a join of matches with matches.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import let
+
 #: Levels up to this make others noise; levels from NOISE on are noise beside them.
 SPECIFIC, NOISE = 2, 4
 #: Phrases that a match of a noisy level may span where its rule sets no limit.
@@ -21,21 +25,37 @@ def priority(levels: Column) -> Column:
     return F.array_min(F.filter(numbers, lambda n: n.between(0, 255)))
 
 
+def level_number(levels: tuple[str, ...]) -> int | None:
+    """As ``priority``, of a rule's levels."""
+    numbers = [int(m[1]) for x in levels if (m := re.fullmatch(r"N\+?([0-9]+)", x))]
+    return min((n for n in numbers if n <= 255), default=None)
+
+
+def resolved(ms: Column) -> Column:
+    """The matches of one text (structs that begin with p, nl, s, ord, e, sorted) that stay after dominance, containment and noise."""
+
+    def keep(held: Column, m: Column) -> Column:
+        against = lambda a: ((a["p"] < m["p"]) & (m["s"] < a["e"]) & (m["e"] > a["s"])) | (a["p"].eqNullSafe(m["p"]) & (m["s"] >= a["s"]) & (m["e"] <= a["e"]) & (a["nl"] < m["nl"]))
+        return F.when(F.exists(held, lambda a: F.coalesce(against(a), F.lit(False))), held).otherwise(F.concat(held, F.array(m)))
+
+    def quiet(kept: Column) -> Column:
+        loud = F.exists(kept, lambda a: F.coalesce(a["p"] <= SPECIFIC, F.lit(False)))
+        return F.when(loud, F.filter(kept, lambda a: ~F.coalesce(a["p"] >= NOISE, F.lit(False)))).otherwise(kept)
+
+    return let(F.aggregate(ms, F.filter(ms, lambda m: F.lit(False)), keep), quiet)
+
+
 def resolve(matches: DataFrame, keys: list[str], rest: list[str] | None = None) -> DataFrame:
     """``matches`` (keys, ord, s, e, p and what ``rest`` names) that stay after dominance, containment and noise."""
     rest = rest or []
     one = F.struct("p", (F.col("s") - F.col("e")).alias("nl"), "s", "ord", "e", *rest)
-    sorted_ = matches.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("ms"))
-    kind = sorted_.schema["ms"].dataType.simpleString()
+    kept = matches.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("ms")).withColumn("ms", resolved(F.col("ms")))
+    return kept.select(*keys, F.explode("ms").alias("m")).select(*keys, "m.ord", "m.s", "m.e", "m.p", *[f"m.{c}" for c in rest])
 
-    def keep(held: Column, m: Column) -> Column:
-        against = lambda a: ((a["p"] < m["p"]) & (m["s"] < a["e"]) & (m["e"] > a["s"])) | (a["p"].eqNullSafe(m["p"]) & (m["s"] >= a["s"]) & (m["e"] <= a["e"]) & (a["nl"] < m["nl"]))
-        return F.when(F.exists(held, lambda a: F.coalesce(against(a), F.lit(False))), held).otherwise(F.concat(held, F.array(m)))
 
-    kept = sorted_.withColumn("ms", F.aggregate("ms", F.array().cast(kind), keep))
-    loud = F.exists("ms", lambda a: F.coalesce(a["p"] <= SPECIFIC, F.lit(False)))
-    quiet = kept.withColumn("ms", F.when(loud, F.filter("ms", lambda a: ~F.coalesce(a["p"] >= NOISE, F.lit(False)))).otherwise(F.col("ms")))
-    return quiet.select(*keys, F.explode("ms").alias("m")).select(*keys, "m.ord", "m.s", "m.e", "m.p", *[f"m.{c}" for c in rest])
+def span_of(first: Column, last: Column) -> Column:
+    """How many phrases lie between two phrase numbers; 0 where either is punctuation (-1)."""
+    return F.when((first >= 0) & (last >= 0), last - first + 1).otherwise(0)
 
 
 def spanned(matches: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,11 +63,16 @@ def spanned(matches: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame
     places = tokens.select(*keys, "idx", F.coalesce("chunk", F.lit(-1)).alias("chunk"))
     first = places.select(*keys, F.col("idx").alias("s"), F.col("chunk").alias("chunk_s"))
     last = places.select(*keys, (F.col("idx") + 1).alias("e"), F.col("chunk").alias("chunk_e"))
-    span = F.when((F.col("chunk_s") >= 0) & (F.col("chunk_e") >= 0), F.col("chunk_e") - F.col("chunk_s") + 1).otherwise(0)
-    return matches.join(first, [*keys, "s"], "left").join(last, [*keys, "e"], "left").fillna(-1, ["chunk_s", "chunk_e"]).withColumn("span", span)
+    found = matches.join(first, [*keys, "s"], "left").join(last, [*keys, "e"], "left").fillna(-1, ["chunk_s", "chunk_e"])
+    return found.withColumn("span", span_of(F.col("chunk_s"), F.col("chunk_e")))
+
+
+def spans_enough(match: Column, max_span: Column) -> Column:
+    """Whether a match (a struct with p and span) spans no more phrases than its rule, or its level, allows."""
+    most = F.when(max_span > 0, max_span).when(F.coalesce(match["p"] >= NOISE, F.lit(False)), NOISE_SPAN)
+    return most.isNull() | (match["span"] == 0) | (match["span"] <= most)
 
 
 def within_span(matches: DataFrame, max_span: Column) -> DataFrame:
     """Matches (with p and span) that span no more phrases than their rule, or their level, allows."""
-    most = F.when(max_span > 0, max_span).when(F.coalesce(F.col("p") >= NOISE, F.lit(False)), NOISE_SPAN)
-    return matches.where(most.isNull() | (F.col("span") == 0) | (F.col("span") <= most))
+    return matches.where(spans_enough(F.struct("p", "span"), max_span))

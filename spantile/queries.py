@@ -42,8 +42,9 @@ def oracle_sql() -> dict[str, str]:
 # ---------------------------------------------------------------- token streams
 
 
-def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.document_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+def doc_tokens(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """dealt: for what looks at neighbours; the documents are dealt by doc_id, and their tokens are not shuffled."""
+    return tokens.document_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), dealt)
 
 
 def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ def tokenize_documents(spark, sf_dir):
 
 @_query(_TOKENS + "SELECT doc_id, sent::INT AS sent, sha256(string_agg(surface || chr(9) || pos0 || ',' || pos1 || ',*,*,*,*,' || base || ',*,*' || chr(10), '' ORDER BY idx) || 'EOS' || chr(10)) AS printed FROM tokens GROUP BY doc_id, sent")
 def token_print(spark, sf_dir):
-    return tokens.printed(doc_tokens(spark, sf_dir), KEYS).withColumn("printed", F.sha2("printed", 256))
+    return tokens.printed(doc_tokens(spark, sf_dir, True), KEYS).withColumn("printed", F.sha2("printed", 256))
 
 
 @_query(_TOKENS + "SELECT pos0, pos1, '*' AS ctype, count(*) AS n, count(DISTINCT base) AS bases FROM tokens GROUP BY pos0, pos1")
@@ -113,9 +114,10 @@ def feature_labels(spark, sf_dir):
     return doc_tokens(spark, sf_dir).groupBy("feature").count().groupBy(tokens.labelled(F.col("feature")).alias("labels")).agg(F.sum("count").alias("n"))
 
 
-@_query(_TOKENS + "SELECT surface || ' ' || pos0 || '.' || pos1 || CASE WHEN base <> surface THEN ' @' || base ELSE '' END AS shown, count(*) AS n FROM tokens GROUP BY 1")
+@_query(_TOKENS + "SELECT '[' || (idx % 3) || '] ' || rpad(surface, greatest(8, length(surface))::INT, ' ') || ' ' || pos0 || ',' || pos1 || CASE WHEN surface = ',' THEN ' base=' WHEN base <> surface AND base <> '*' THEN ' base=' || base ELSE '' END AS shown, count(*) AS n FROM tokens GROUP BY 1")
 def token_pretty(spark, sf_dir):
-    return doc_tokens(spark, sf_dir).groupBy("surface", "feature").count().groupBy(tokens.pretty(F.col("surface"), F.col("feature")).alias("shown")).agg(F.sum("count").alias("n"))
+    found = doc_tokens(spark, sf_dir).groupBy((F.col("idx") % 3).alias("idx"), "surface", "feature").count()
+    return found.groupBy(tokens.pretty(F.col("idx"), F.col("surface"), F.col("feature")).alias("shown")).agg(F.sum("count").alias("n"))
 
 
 # ---------------------------------------------------------------- predicates
@@ -228,7 +230,7 @@ _NOUN_RUNS = """, runs AS (
 @_query(_TOKENS + _NOUN_RUNS + "SELECT lang, count(*) AS matches, max(e - s)::INT AS longest, sum(e - s)::BIGINT AS tokens FROM runs JOIN documents USING (doc_id) GROUP BY lang")
 def compound_nouns(spark, sf_dir):
     """The flagship: runs of two nouns or more in each sentence, by language."""
-    found = find_native(tokens.parsed(doc_tokens(spark, sf_dir)), KEYS, parse("compound = 名詞 名詞+ ;"), "compound")
+    found = find_native(tokens.parsed(doc_tokens(spark, sf_dir, True)), KEYS, parse("compound = 名詞 名詞+ ;"), "compound")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     size = F.col("e") - F.col("s")
     return found.join(docs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("matches"), F.max(size).alias("longest"), F.sum(size).alias("tokens"))
@@ -236,7 +238,7 @@ def compound_nouns(spark, sf_dir):
 
 @_query(_TOKENS + ", led AS (SELECT doc_id, pos0 AS a, lead(pos0) OVER w AS b, lead(base, 1) OVER w AS bb FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY idx)) SELECT doc_id, count(*) AS n FROM led WHERE a = '動詞' AND b = '助詞' AND bb LIKE '%e' GROUP BY doc_id")
 def seq_tokens(spark, sf_dir):
-    found = find_native(tokens.parsed(doc_tokens(spark, sf_dir)), KEYS, parse('r = 動詞 助詞@~"e" ;'), "r")
+    found = find_native(tokens.parsed(doc_tokens(spark, sf_dir, True)), KEYS, parse('r = 動詞 助詞@~"e" ;'), "r")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -251,17 +253,17 @@ placed AS (
 
 @_query(_TOKENS + _CHUNKS + "SELECT doc_id, count(*) AS chunks, sum(s)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM (SELECT doc_id, sent, chunk, min(idx) AS s, max(idx) + 1 AS e FROM placed WHERE chunk IS NOT NULL GROUP BY doc_id, sent, chunk) GROUP BY doc_id")
 def chunks(spark, sf_dir):
-    return phrases.chunks(doc_tokens(spark, sf_dir), KEYS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("s").cast("long").alias("starts"), F.sum("e").cast("long").alias("ends"))
+    return phrases.chunks(doc_tokens(spark, sf_dir, True), KEYS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("s").cast("long").alias("starts"), F.sum("e").cast("long").alias("ends"))
 
 
 @_query(_TOKENS + _CHUNKS + "SELECT surface, count(*) AS n FROM (SELECT string_agg(surface, '' ORDER BY idx) AS surface FROM placed WHERE chunk IS NOT NULL GROUP BY doc_id, sent, chunk) GROUP BY surface HAVING count(*) >= 3")
 def chunk_surface(spark, sf_dir):
-    return phrases.chunks(doc_tokens(spark, sf_dir), KEYS).groupBy("surface").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return phrases.chunks(doc_tokens(spark, sf_dir, True), KEYS).groupBy("surface").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
 @_query(_TOKENS + _CHUNKS + "SELECT doc_id, sum(coalesce(chunk, -1))::BIGINT AS chunk_sum, count(*) FILTER (WHERE chunk IS NULL) AS marks, count(*) FILTER (WHERE coalesce(chunk = follows, false)) AS same FROM (SELECT *, lead(chunk) OVER (PARTITION BY doc_id, sent ORDER BY idx) AS follows FROM placed) GROUP BY doc_id")
 def chunk_of(spark, sf_dir):
-    placed = phrases.chunk_of(doc_tokens(spark, sf_dir), KEYS)
+    placed = phrases.chunk_of(doc_tokens(spark, sf_dir, True), KEYS)
     same = phrases.same_chunk(F.col("chunk"), F.lead("chunk").over(Window.partitionBy(*KEYS).orderBy("idx")))
     return placed.withColumn("same", same).groupBy("doc_id").agg(F.sum(F.coalesce("chunk", F.lit(-1))).cast("long").alias("chunk_sum"), F.count_if(F.col("chunk").isNull()).alias("marks"), F.count_if("same").alias("same"))
 
@@ -344,20 +346,6 @@ def node_match_map(spark, sf_dir):
 
 # ---------------------------------------------------------------- catalogue
 
-_OLD = [(1, "te_form", "manual", "動詞", "old te"), (2, "nara", "site", "", "old nara"), (3, "bakari", "site", "x", "old bakari")]
-_NEW = [("te_form", "site", "", "new te"), ("nara", "site", "y", "new nara"), ("tara", "site", "", "new tara")]
-
-
-@_query("""SELECT coalesce(o.rule_name, n.rule_name) AS rule_name, coalesce(n.description, o.description) AS description,
-  CASE WHEN o.rule_name IS NULL THEN n.pattern ELSE o.pattern END AS pattern, CASE WHEN o.source = 'manual' THEN 'manual' ELSE coalesce(n.source, o.source) END AS source
-FROM (VALUES ('te_form', 'manual', '動詞', 'old te'), ('nara', 'site', '', 'old nara'), ('bakari', 'site', 'x', 'old bakari')) o(rule_name, source, pattern, description)
-FULL JOIN (VALUES ('te_form', 'site', '', 'new te'), ('nara', 'site', 'y', 'new nara'), ('tara', 'site', '', 'new tara')) n(rule_name, source, pattern, description) ON o.rule_name = n.rule_name""")
-def upsert_rules(spark, sf_dir):
-    old = rules.with_schema(spark.createDataFrame(_OLD, "id long, rule_name string, source string, pattern string, description string"), rules.GRAMMARS)
-    new = rules.with_schema(spark.createDataFrame(_NEW, "rule_name string, source string, pattern string, description string"), rules.GRAMMARS)
-    return catalogue.upserted(old, new).select("rule_name", "description", "pattern", "source")
-
-
 @_query("SELECT i::BIGINT AS i, name FROM (VALUES (0, 'a'), (1, 'b'), (2, 'c')) v(i, name)")
 def merge_rules(spark, sf_dir):
     merged = PatternSet.from_text('a = "x" ; b = "y" ;').merge('b = "z" ; c = "w" ;')
@@ -382,9 +370,9 @@ def examples_encode(spark, sf_dir):
     return rules.encoded_examples(rows.select(F.col("conv_id").alias("grammar_id"), F.floor(F.col("turn") / 2).alias("sort_order"), F.col("turn").alias("id"), F.col("role").alias("lang"), F.char_length("text").cast("string").alias("sentence")))
 
 
-@_query("""SELECT * FROM (VALUES ('ja:a;zh:b|ja:c', 'a<zh=b>/c<>'), ('ja:a:b;en:c:d', 'a:b<en=c:d>'), ('plain;ja:x', 'plain<ja=x>'), ('zh:only', ''), ('', '')) v(raw, decoded)""")
+@_query("""SELECT * FROM (VALUES ('ja:a;zh:b|ja:c', 'a<zh=b>/c<>'), ('ja:a:b;en:c:d', 'a:b<en=c:d>'), ('plain;ja:x', 'plain<ja=x>'), ('zh:only', '<zh=only>'), ('ja:;zh:x;ja:y', 'y<zh=x>'), ('', '')) v(raw, decoded)""")
 def examples_decode(spark, sf_dir):
-    raw = spark.createDataFrame([("ja:a;zh:b|ja:c",), ("ja:a:b;en:c:d",), ("plain;ja:x",), ("zh:only",), ("",)], "raw string")
+    raw = spark.createDataFrame([("ja:a;zh:b|ja:c",), ("ja:a:b;en:c:d",), ("plain;ja:x",), ("zh:only",), ("ja:;zh:x;ja:y",), ("",)], "raw string")
     shown = lambda e: F.concat(e["sentence"], F.lit("<"), F.array_join(F.transform(e["translations"], lambda t: F.concat(t["lang"], F.lit("="), t["text"])), ","), F.lit(">"))
     return raw.select("raw", F.array_join(F.transform(rules.decoded_examples(F.col("raw")), shown), "/").alias("decoded"))
 
@@ -393,14 +381,6 @@ def _pages(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-_URL = r"regexp_extract(url, '/([A-Za-z0-9_-]+)/?([?#].*)?$', 1)"
-
-
-@_query(f"SELECT page_id, CASE WHEN {_URL} <> '' THEN replace({_URL}, '-', '_') ELSE 'grammar_' || lower(substr(hex(encode(url)), 1, 16)) END AS rule_name FROM pages")
-def page_rule_name(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", rules.rule_id(F.col("url")).alias("rule_name"))
-
-
 def _plain_sql(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
@@ -421,25 +401,11 @@ def page_title(spark, sf_dir):
 l AS (SELECT page_id * 10000 + i - 1 AS place, regexp_extract(a, '(?is)href="([^"]*)"', 1) AS href, {_plain_sql("regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1)")} AS text FROM a)
 SELECT CASE WHEN href LIKE 'http%' THEN href ELSE 'https://example.com' || href END AS url, min(place) AS place, arg_max(text, place) AS text FROM l WHERE text <> '' GROUP BY 1""")
 def page_links_dedup(spark, sf_dir):
-    found = catalogue.links(_pages(spark, sf_dir), "page_id", "html").withColumn("place", F.col("page_id") * 10000 + F.col("place"))
+    found = catalogue.links(_pages(spark, sf_dir), "page_id", "html", None).withColumn("place", F.col("page_id") * 10000 + F.col("place"))
     found = found.withColumn("url", catalogue.absolute(F.col("href"), "https://example.com"))
     return catalogue.first_place_last_value(found, "url", "place", ["text"])
 
 
-@_query(f"""WITH p AS (SELECT page_id, generate_subscripts(x, 1) AS i, unnest(x) AS h FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p[^>]*>.*?</p>') AS x FROM pages)),
-l AS (SELECT page_id, i, {_plain_sql("h")} AS line FROM p), o AS (SELECT page_id, line, min(i) AS i FROM l WHERE length(line) > 5 AND length(line) < 150 GROUP BY page_id, line)
-SELECT page_id, rank::INT AS rank, line FROM (SELECT page_id, line, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rank FROM o) WHERE rank <= 5""")
-def page_top5(spark, sf_dir):
-    found = _pages(spark, sf_dir).select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?is)<p[^>]*>.*?</p>"), F.lit(0))).alias("place", "h"))
-    return catalogue.top_examples(found.select("page_id", "place", catalogue.plain(F.col("h")).alias("line")), "page_id", letters=None)
-
-
-@_query("SELECT conv_id AS rule, bool_and(length(text) > 40) AS passed, count(*) FILTER (WHERE length(text) > 40) AS matched, count(*) FILTER (WHERE length(text) <= 40) AS failed, 0::BIGINT AS skipped FROM conversations GROUP BY conv_id")
-def conformance_report(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return catalogue.conformance(rows.select(F.col("conv_id").alias("rule"), (F.char_length("text") > 40).alias("hit")))
-
-
 # ---------------------------------------------------------------- dictionary and lattice
 
 _TEXTS = ["すもももももももものうち", "東京都に住んでいます", "携帯電話番号を入力する", "いくら騒いでも大丈夫だ", "私は学生です", ""]
@@ -475,5 +441,8 @@ def mcbd_roundtrip(spark, sf_dir):
 @_query(_TOKENS + "SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id")
 def printed_tokens(spark, sf_dir):
     """Printed tokens read again."""
-    lines = tokens.printed(doc_tokens(spark, sf_dir), KEYS)
+    lines = tokens.printed(doc_tokens(spark, sf_dir, True), KEYS)
     return lines.select("doc_id", F.size(tokens.from_printed(F.col("printed"))).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
+
+
+from . import catalogue_queries as _more  # noqa: E402, F401  registers its queries here

@@ -35,20 +35,21 @@ def with_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def examples_of(text: str) -> tuple:
-    """``ja:a;zh:b|ja:c`` as ((sentence, ((language, text), ...)), ...)."""
+    """``ja:a;zh:b|ja:c`` as ((sentence, ((language, text), ...)), ...).
+
+    The first text marked ``ja``, or not marked at all, is the sentence; while that is empty, the next one may be.  What else
+    is not marked goes; a group without any is an empty sentence with its translations.
+    """
     out = []
-    for group in (text or "").split("|"):
-        sentence, translations = None, []
-        for part in filter(None, group.split(";")):
+    for group in text.split("|") if text else ():
+        sentence, translations = "", []
+        for part in group.split(";"):
             lang, colon, said = part.partition(":")
-            if not colon:
-                sentence = part if sentence is None else sentence
-            elif lang == "ja" and sentence is None:
-                sentence = said
+            if sentence or (colon and lang != "ja"):
+                translations += [(lang, said)] if colon else []
             else:
-                translations.append((lang, said))
-        if sentence is not None:
-            out.append((sentence, tuple(translations)))
+                sentence = said if colon else part
+        out.append((sentence, tuple(translations)))
     return tuple(out)
 
 
@@ -56,21 +57,20 @@ def decoded_examples(text: Column) -> Column:
     """As ``examples_of``, as an expression."""
 
     def group(g: Column) -> Column:
-        start = F.struct(F.lit(None).cast("string").alias("sentence"), F.array().cast("array<struct<lang: string, text: string>>").alias("translations"))
+        start = F.struct(F.lit("").alias("sentence"), F.array().cast("array<struct<lang: string, text: string>>").alias("translations"))
 
         def step(held: Column, part: Column) -> Column:
-            colon = F.instr(part, ":")
-            lang = F.substring_index(part, ":", 1)
-            said = F.substr(part, colon + 1)
-            is_sentence = held["sentence"].isNull() & ((colon == 0) | (lang == "ja"))
+            marked = F.instr(part, ":") > 0
+            lang, said = F.substring_index(part, ":", 1), F.substr(part, F.instr(part, ":") + 1)
+            fills = (held["sentence"] == "") & (~marked | (lang == "ja"))
+            sentence = F.when(~fills, held["sentence"]).when(marked, said).otherwise(part)
             more = F.array(F.struct(lang.alias("lang"), said.alias("text")))
-            sentence = F.when(is_sentence, F.when(colon == 0, part).otherwise(said)).otherwise(held["sentence"])
-            translations = F.when(is_sentence | (colon == 0), held["translations"]).otherwise(F.concat(held["translations"], more))
-            return F.struct(sentence.alias("sentence"), translations.alias("translations"))
+            return F.struct(sentence.alias("sentence"), F.when(marked & ~fills, F.concat(held["translations"], more)).otherwise(held["translations"]).alias("translations"))
 
-        return F.aggregate(F.filter(F.split(g, ";"), lambda p: p != ""), start, step)
+        return F.aggregate(F.split(g, ";"), start, step)
 
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), group), lambda e: e["sentence"].isNotNull())
+    none = F.array().cast(EXAMPLES)
+    return F.when(F.coalesce(text, F.lit("")) == "", none).otherwise(F.transform(F.split(text, r"\|"), group))
 
 
 def encoded_examples(rows: DataFrame) -> DataFrame:
@@ -150,6 +150,6 @@ def write_rules(rules: DataFrame, path: str) -> None:
 
 
 def rule_id(url: Column) -> Column:
-    """The last part of a URL's path with ``_`` for ``-``; else ``grammar_`` and some hexadecimal digits of the URL."""
-    last = F.regexp_extract(url, r"/([A-Za-z0-9_-]+)/?(?:[?#].*)?$", 1)
-    return F.when(last != "", F.translate(last, "-", "_")).otherwise(F.concat(F.lit("grammar_"), F.lower(F.substring(F.hex(url), 1, 16))))
+    """What follows a URL's last slash (but for one at the end), with ``_`` for ``-``; else ``grammar_`` and 12 hexadecimal digits of it."""
+    last = F.regexp_extract(url, r"/([^/]+)/?$", 1)
+    return F.when(last != "", F.translate(last, "-", "_")).otherwise(F.concat(F.lit("grammar_"), F.lower(F.substring(F.hex(url), 1, 12))))

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..operators.match import match_texts
-from ..operators.tokens import WORD, tagged
+from ..operators.tokens import sentences, tagged, words
 from ..plans.pattern import Grammar
 
 
 def streamed_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token rows of a stream of texts: key, sent, idx and what ``tagged`` adds."""
-    rows = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "[.\n]", -1)).alias("sent", "sentence"))
-    return tagged(rows.select(key, "sent", F.posexplode(F.regexp_extract_all("sentence", F.lit(WORD), F.lit(0))).alias("idx", "surface")))
+    return tagged(words(sentences(docs, key, text), [key, "sent"], "sentence"))
 
 
 def streamed_matches(texts: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:

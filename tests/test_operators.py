@@ -139,19 +139,41 @@ def test_examples_both_ways(spark):
 
 
 def test_pages(spark):
-    html = '<title>て形 | site</title><h1></h1><h2>解説 about</h2><p>It &amp; that</p><h2>接続</h2>V<h3>解説 again</h3>no<h2>【Ｎ５文法】</h2><a href="/x-y">one</a><a href="http://b/"> <b>two</b></a><a href="/e"></a>'
-    page = spark.createDataFrame([(1, "http://h/a-b/te-form", html)], "id int, url string, html string")
-    assert page.select(catalogue.title_of(F.col("html")), rules.rule_id(F.col("url")), catalogue.level_of(F.col("html"))).first()[:] == ("て形", "te_form", "N5")
-    found = catalogue.first_sections(catalogue.sections(page, "id", "html"), "id", {"about": ("解説",), "link": ("接続", "つなぎ方"), "none": ("意味",)}).first()
-    assert (found.about, found.link, found.none) == ("It & that", "V", None)
+    html = """<title>て形 | site</title><h1></h1><h2>解説 about</h2><p>It &amp; that</p>
+text of no element<div> two
+ lines </div><h2>接続</h2><p></p><h4>つなぎ方</h4><ul><li>V</li></ul><h3>解説 again</h3><p>no</p><h4>意味</h4><p>means</p><h3>例文です</h3><p>
+    intro
+    （１） 食べて寝る ▶
+    eat and sleep ▶
+    吃了睡
+    見る？
+    (2) ▶
+    (3)
+    lost
+    （ 10 ）行く
+    go</p><p>go again
+    (4) 来る</p><h2>例文</h2><p>(1) no</p>"""
+    page = spark.createDataFrame([(1, "http://h/a-b/te-form", html), (2, "http://nihongokyoshi-net.com/x/", "<h1>【Ｎ３文法】～あまり｜b</h1><h2>意味</h2><p>only</p>"), (3, "none", "jlpt  n4 N2")], "id int, url string, html string")
+    one, two, three = catalogue.records(page).orderBy("id").collect()
+    assert (one["name"], one.rule_name, one.levels, one.source, one.pattern) == ("て形", "te_form", "", "unknown", "")
+    assert one.description == "It & that\ntwo\n lines\n\n【意味】\nmeans" and one.connection == "V"
+    assert [(e.sentence, [tuple(t) for t in e.translations]) for e in one.examples] == [("食べて寝る", [("en", "eat and sleep"), ("zh", "吃了睡")]), ("", []), ("行く", [("en", "go")]), ("来る", [])]
+    assert (two["name"], two.rule_name, two.levels, two.description, two.source) == ("～あまり", "x", "N3", "only", "nihongokyoshi_net")
+    assert (three.levels, three.rule_name, three.examples) == ("n4", "grammar_6e6f6e65", [])
+
+
+def test_links(spark):
+    html = "<a href='/grammar-0'>zero</a><h2>JLPT N5</h2><a href=\"/x-y/grammar/\">one</a><a href='http://b/jlpt'> <b>two</b></a><a href=/grammar-3 class=x>three</a><a href='/other'>o</a><a href='/grammar-e'></a><h4>N1</h4><a href='/jlpt4'>four</a><h3>none</h3><a href='/grammar-5'>five</a>"
+    page = spark.createDataFrame([(1, html)], "id int, html string")
     links = catalogue.links(page, "id", "html").select("href", "text", catalogue.absolute(F.col("href"), "https://r").alias("u")).collect()
-    assert [tuple(r) for r in links] == [("/x-y", "one", "https://r/x-y"), ("http://b/", "two", "http://b/")]
-    assert [(r.href, r.level) for r in catalogue.links_by_level(page, "id", "html").collect()] == [("/x-y", "N5"), ("http://b/", "N5")]
-    assert catalogue.links(page, "id", "html", ["x-"]).count() == 1
-    assert page.select(catalogue.source_of(F.col("url"), {"h/a": "first", "http": "second"})).first()[0] == "first"
-    lines = ["intro", "(1) 食べて寝る", "eat and sleep", "吃了睡", "見る？", "（２）行く", "go"]
+    assert [tuple(r) for r in links] == [("/grammar-0", "zero", "https://r/grammar-0"), ("/x-y/grammar/", "one", "https://r/x-y/grammar/"), ("/grammar-3", "three", "https://r/grammar-3"), ("/grammar-5", "five", "https://r/grammar-5")]
+    assert catalogue.links(page, "id", "html", None).count() == 7
+    assert [(r.href, r.text, r.level) for r in catalogue.links_by_level(page, "id", "html").collect()] == [("/x-y/grammar/", "one", "N5"), ("http://b/jlpt", "two", "N5"), ("/grammar-3", "three", "N5"), ("/grammar-e", "", "N5"), ("/jlpt4", "four", "N5")]
+    lines = ["①. 食べるのだ", "短い", "latin letters alone", "接続が分かるように", "食べるのだ", "1) 飲むのです", "カタカナノミデス", *[f"例文その{i}です" for i in range(9)]]
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "id int, place int, line string")
-    assert [tuple(r)[2:] for r in catalogue.numbered_examples(rows, "id").orderBy("place").collect()] == [(1, "ja", "食べて寝る"), (1, "en", "eat and sleep"), (1, "zh", "吃了睡"), (2, "ja", "行く"), (2, "en", "go")]
+    assert [r.line for r in catalogue.top_examples(rows, "id").orderBy("rank").collect()] == ["食べるのだ", "飲むのです", "例文その0です", "例文その1です", "例文その2です"]
+    texts = spark.createDataFrame([(["x", " Vて y", "接続： Nの＋こと", "接続 z"],), (["none"],)], "t array<string>").select(catalogue.connection_of(F.col("t")).alias("c")).collect()
+    assert [r.c for r in texts] == ["Nの＋こと", ""]
 
 
 def test_fetch():
@@ -179,10 +201,32 @@ def test_tables(spark):
     gone = spark.createDataFrame([(1, " s1 ")], "grammar_id long, sentence string")
     assert [r.sentence for r in catalogue.without_pairs(examples, gone).collect()] == ["s2"]
     new = spark.createDataFrame([(1, ["p", "q", "r"]), (2, [])], "grammar_id long, sentences array<string>")
-    out = catalogue.replaced_examples(examples.drop("id"), new, spark.createDataFrame([(1, "q")], "grammar_id long, sentence string"), spark.createDataFrame([], "grammar_id long"))
+    gone, kept = spark.createDataFrame([(1, "q")], "grammar_id long, sentence string"), spark.createDataFrame([], "grammar_id long")
+    out = catalogue.replaced_examples(examples.drop("id"), new, gone, kept)
     assert sorted((r.grammar_id, r.sentence, r.sort_order) for r in out.collect()) == [(1, "p", 0), (1, "r", 2)]
-    hits = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("c", None)], "rule string, hit boolean")
-    assert {r.rule: (r.passed, r.matched, r.failed, r.skipped) for r in catalogue.conformance(hits).collect()} == {"a": (False, 1, 1, 0), "b": (True, 1, 0, 0), "c": (False, 0, 0, 1)}
+    told = spark.createDataFrame([(1, [("p", [("zh", "P"), ("en", "pp")]), ("q", [("en", "Q")])])], f"grammar_id long, examples array<struct<sentence: string, translations: {catalogue.TRANSLATIONS}>>")
+    out = catalogue.replaced_examples(examples.drop("id"), told, gone, kept)
+    assert sorted((r.sort_order, r.lang, r.sentence) for r in out.collect()) == [(0, "en", "pp"), (0, "ja", "p"), (0, "zh", "P")]
+    assert catalogue.replaced_examples(examples.drop("id"), told, gone, told.select("grammar_id")).count() == 2
+    assert {r.id: r.n for r in catalogue.example_counts(old, examples).collect()} == {1: 2, 2: 0, 3: 0}
+    assert tuple(catalogue.totals(old, examples).first()) == (3, 2)
+    added = catalogue.upserted(old, rules.with_schema(spark.createDataFrame([("b",), ("z",), ("y",)], "rule_name string"), rules.GRAMMARS))
+    assert {r.rule_name: r.id for r in added.collect()} == {"a": 1, "b": 2, "c": 3, "y": 4, "z": 5}
+
+
+def test_conformance(spark):
+    """Rules are tried on their own examples, by the lattice tokenizer; after so many failures no more are reported."""
+    made = [(1, "te", '動詞 助詞"て"'), (2, "never", '"no such word"'), (3, "ref", "te 動詞"), (4, "alone", "名詞"), (5, "never2", '"none"'), (6, "late", "動詞"), (7, "blank", " ")]
+    rows = spark.createDataFrame(made, "id long, rule_name string, pattern string")
+    said = [(1, "食べて寝る", "ja", 0), (1, "eat", "en", 0), (1, " 大学 ", "ja", 1), (2, "食べる", "ja", 0), (2, "食べる", "ja", 1), (3, "食べて寝る", "ja", 0), (4, " ", "ja", 0), (5, "花", "ja", 0), (6, "寝る", "ja", 0), (7, "花", "ja", 0)]
+    examples = spark.createDataFrame(said, "grammar_id long, sentence string, lang string, sort_order int")
+    excluded = spark.createDataFrame([(1, "大学")], "grammar_id long, sentence string")
+    tokenize = lambda texts: lattice.tokenized(texts, ["grammar_id", "example"], "text", lattice.MINI)
+    report = catalogue.conformance_of(rows, examples, excluded, tokenize)
+    assert {r.rule: (r.id, r.passed, r.matched, r.failed) for r in report.collect()} == {"te": (1, True, 1, 0), "never": (2, False, 0, 2), "ref": (3, True, 1, 0), "alone": (4, None, 0, 0), "never2": (5, False, 0, 1), "late": (6, True, 1, 0)}
+    assert tuple(catalogue.conformance_totals(report).first()) == (5, 3, 2, 1)
+    assert {r.id for r in catalogue.conformance_of(rows, examples, excluded, tokenize, 2).collect()} == {1, 2, 3, 4, 5}
+    assert {r.id for r in catalogue.conformance_of(rows, examples, excluded, tokenize, 1).collect()} == {1, 2}
 
 
 def test_consumers(spark):
@@ -190,7 +234,8 @@ def test_consumers(spark):
     assert [r.rule for r in consumers.outermost(found, ["k"]).collect()] == ["a"] and consumers.of_rules(found, ["b"]).count() == 1
     assert {r.idx: (r.rules, r.fixed) for r in consumers.by_token(found, ["k"]).collect()} == {0: (["a"], True), 1: (["a", "b"], True), 2: (["a"], True)}
     row = spark.sql("SELECT array(named_struct('surface', 'x'), named_struct('surface', 'y'), named_struct('surface', 'z')) AS t")
-    assert row.select(consumers.bracketed(F.col("t"), F.lit(1), F.lit(2))).first()[0] == "x[y]z"
+    assert row.select(consumers.bracketed(F.col("t"), F.array(F.lit(5), F.lit(7)), F.lit(5))).first()[0] == "[x] y [z]"
+    assert row.select(consumers.match_line(F.array(), F.lit("r"), F.array(F.lit("a"), F.lit("b")))).first()[0] == "N?     r" + " " * 30 + "fixed: a b"
     assert row.select(consumers.fixed_surfaces(F.slice("t", 2, 2), F.array(F.lit(2)), F.lit(1))).first()[0] == ["z"]
     shown = spark.createDataFrame([("ja:a;zh:b;en:c|ja:d",)], "t string").select(consumers.preview(rules.decoded_examples(F.col("t")))).first()[0]
     assert shown == ["a  b / c", "d"]

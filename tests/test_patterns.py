@@ -3,10 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from spantile.operators import inrow
 from spantile.operators.api import PatternSet
-from spantile.operators.match import Matcher, Tokens, match_texts
+from spantile.operators.match import Matcher, Tokens, match_texts, nested
 from spantile.operators.native import Unsupported, find_native
+from spantile.operators.phrases import chunk_of
 from spantile.operators.tokens import parsed
 from spantile.plans import pattern as P
 
@@ -26,6 +29,7 @@ def find(pattern, tokens):
     return Matcher(grammar, Tokens([t[0] for t in made], [t[1] for t in made], {})).find(grammar.rules[0])
 
 
+# Patterns, tokens and what they match.
 CASES = [
     ("動詞", "食べ/食べる/動詞 た/た/助動詞", [(0, 1, (0,))]),
     ('動詞 助詞.接続助詞"て"', "食べ/食べる/動詞 て/て/助詞.接続助詞 いる/いる/動詞.非自立", [(0, 2, (0, 1))]),
@@ -160,3 +164,38 @@ def test_stream(spark, tmp_path):
 def test_empty(spark):
     texts = spark.createDataFrame([], "k long, tokens array<struct<surface: string, feature: string>>")
     assert match_texts(texts, P.parse("r = 名詞 ;"), ["k"]).count() == 0
+
+
+def test_patterns_in_rows_are_the_matcher(spark):
+    """Shapes that are matched within rows: spans and what the tests have read, slots and references among them."""
+    rnd = random.Random(5)
+    texts = [[(c, f"名詞,一般,*,*,*,{form},{c if c != 'D' else '*'},*,*") for c, form in ((rnd.choice("ABCD"), rnd.choice(("x", "y"))) for _ in range(rnd.randint(0, 9)))] for _ in range(80)]
+    texts += [[("A", "名詞"), ("B", "名詞,一般"), ("A", "名詞")]]
+    frame = spark.createDataFrame([(k, [tuple(t) for t in made]) for k, made in enumerate(texts)], "k long, tokens array<struct<surface: string, feature: string>>").cache()
+    single = lambda: rnd.choice(('"A"', '"B"', "/[CD]/", "_", "名詞[x]", '@"C"', '("A" | "C")', "(one)"))
+    shapes = [" ".join(single() for _ in range(rnd.randint(1, 3))) + rnd.choice(("", ' "A"+', ' "B"*', " /[AB]/+")) for _ in range(30)]
+    shapes += ['"A" "A" "A"*', '"B"+', "_$1 _ _@=$1", "名詞$2 _@=$2", '_@=$1 "A"', "名詞$1 名詞@=$1"]
+    grammar = P.parse('one = "B" | "D" ;' + "".join(f"r{i} = {x} ;" for i, x in enumerate(shapes)))
+    for rule in grammar.rules:
+        got = {r.k: [(m.s, m.e, tuple(m.fixed)) for m in r.m] for r in frame.select("k", inrow.matches(F.col("tokens"), grammar, rule).alias("m")).collect()}
+        for k, made in enumerate(texts):
+            assert got[k] == Matcher(grammar, Tokens([t[0] for t in made], [t[1] for t in made], {})).find(rule), (rule, made)
+
+
+def test_rules_of_either_way_in_one_set(spark):
+    """Rules that are matched within rows and rules that need the general matcher, in the order of the grammar."""
+    rules = PatternSet.from_text('a = "x" "y" ; b = ("x" "y")+ ; a = "y" ; c = "y" c? ;')
+    tokens = spark.createDataFrame([(1, i, c, "名詞") for i, c in enumerate("xyxyy")], "k long, idx int, surface string, feature string")
+    got = rules.raw(tokens, ["k"]).collect()
+    assert [(r.rule, r.ord, r.s, r.e, list(r.fixed)) for r in got] == [("a", 0, 0, 2, [0, 1]), ("a", 0, 2, 4, [2, 3]), ("a", 2, 1, 2, [1]), ("a", 2, 3, 4, [3]), ("a", 2, 4, 5, [4]), ("b", 1, 0, 4, [0, 1, 2, 3]), ("c", 3, 1, 2, [1]), ("c", 3, 3, 5, [3, 4])]
+    assert {(r.rule, r.ord) for r in rules.raw(tokens, ["k"], ["a"]).collect()} == {("a", 0)}
+
+
+def test_phrases_in_rows(spark):
+    rnd = random.Random(6)
+    tags = [("名詞", "一般"), ("名詞", "接尾"), ("助詞", "*"), ("記号", "読点"), ("動詞", "自立"), ("副詞", "*"), ("形容詞", "非自立")]
+    rows = [(k, i, "w", ",".join(rnd.choice(tags))) for k in range(60) for i in range(rnd.randint(1, 10))]
+    tokens = spark.createDataFrame(rows, "k long, idx int, surface string, feature string")
+    want = {(r.k, r.idx): -1 if r.chunk is None else r.chunk for r in chunk_of(parsed(tokens), ["k"]).collect()}
+    got = nested(tokens, ["k"]).select("k", F.posexplode(inrow.phrase_numbers(F.col("tokens"))).alias("idx", "c")).collect()
+    assert {(r.k, r.idx): r.c for r in got} == want
