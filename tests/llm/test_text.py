@@ -250,7 +250,7 @@ def _weights(rng, rows=9, size=4, classes=5):
 
 def _states(par, rows, text, low, high):
     x = par["x"]
-    return lm_scoring.attend(rows, lm_scoring.starts(text), low, high, *(x @ par[n] for n in "qkvs"), par["lag"])[0]
+    return lm_scoring.attend(rows, lm_scoring.starts(text), low, high, x @ par["q"], x @ par["k"], lm_scoring.ones_beside(x @ par["v"]), x @ par["s"], par["lag"])[0]
 
 
 def test_lm_attention_is_causal_attention():
