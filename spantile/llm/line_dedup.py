@@ -30,7 +30,7 @@ SHARD_KEYS = 50_000
 #: Line keys that are packed together before they are sent to the shards: so many for each shard, within these bounds.
 SHARD_LINES, LEAST_BLOCK, MOST_BLOCK = 500, 200_000, 2_000_000
 #: Lines in a packed row at most, and lines that one reading of a filter is for.
-ROW_LINES, SLICE_LINES = 20_000, 1_000_000
+ROW_LINES, SLICE_LINES = 20_000, 200_000
 #: A filter whose stash is longer than this is built anew.
 MOST_STASHED = 2_000
 SLOTS = 4
