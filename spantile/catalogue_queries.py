@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .operators import catalogue, consumers, lattice, tokens
 from .operators.api import PatternSet
-from .queries import _EVENTS, _LEADS, _TOKENS, _leftmost_sql, _plain_sql, _query, event_tokens
-from .sources import rules
+from .queries import _EVENTS, _LEADS, _TOKENS, _leftmost_sql, _packed_dictionary, _plain_sql, _query, event_tokens
+from .sources import compiled, rules
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -364,3 +364,22 @@ def lattice_printed(spark, sf_dir):
     """The two cheapest paths of each sentence as text: one alone where no word can be cut otherwise."""
     said = tokens.sentences(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lattice.n_best_printed(said, ["doc_id", "sent"], "sentence", lattice.MINI, 2).withColumn("printed", F.sha2("printed", 256))
+
+
+@_query(_LATTICE + "SELECT doc_id, count(*) AS n, sum(octet_length(encode(surface)))::BIGINT AS n_bytes, sum(cost)::BIGINT AS wcost, count(DISTINCT feature) AS features FROM n GROUP BY doc_id")
+def dictionary_documents(spark, sf_dir):
+    """All sentences of all documents by a dictionary that was compiled, packed and opened from its container."""
+    lexicon = lattice.Lexicon.opened(compiled.open_packed(_packed_dictionary()))
+    said = tokens.sentences(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lattice.tokenized(said, ["doc_id", "sent"], "sentence", lexicon)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("n_bytes"), F.sum("wcost").alias("wcost"), F.countDistinct("feature").alias("features"))
+
+
+@_query(_LATTICE + "SELECT doc_id, count(*) AS n, sum(cost)::BIGINT AS wcost FROM n GROUP BY doc_id")
+def partial_documents(spark, sf_dir):
+    """Sentences whose words are all given, as another run printed them: nothing is cut otherwise."""
+    said = tokens.sentences(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    printed = lattice.n_best_printed(said, ["doc_id", "sent"], "sentence", lattice.MINI, 1)
+    given = lattice.Lexicon(lattice.MINI.entries, partial=True)
+    found = lattice.tokenized(printed, ["doc_id", "sent"], "printed", given)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("wcost").alias("wcost"))

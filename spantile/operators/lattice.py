@@ -9,14 +9,18 @@ goes on with the path of the least total cost, which the forward costs give exac
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.compiled import MOST_WORDS, Compiled
+
 NODE = "id long, surface string, feature string, length int, rlength int, rc_attr int, lc_attr int, posid int, char_type int, stat int, isbest boolean, alpha double, beta double, prob double, wcost int, cost long"
 VERSION = "0.996"
 
@@ -28,9 +32,10 @@ class Entry:
     right: int
     cost: int
     feature: str
+    posid: int = 0
 
 
-# Character classes of this tokenizer (name, first and last code point), and what an unknown word costs.
+# Character classes of a lexicon without its own (name, first and last code point), and what an unknown word costs.
 CLASSES = (
     ("HIRAGANA", 0x3041, 0x309F),
     ("KATAKANA", 0x30A0, 0x30FF),
@@ -52,68 +57,152 @@ UNKNOWN = {
     "ALPHA": (6_000, "名詞,固有名詞,組織,*,*,*,*"),
     "SYMBOL": (8_000, "記号,一般,*,*,*,*,*"),
 }
-#: Classes whose runs are one unknown word, and classes that give unknown words even where the dictionary has words.
-RUNS, ALWAYS = ("KATAKANA", "NUMERIC", "ALPHA"), ("KATAKANA", "NUMERIC", "ALPHA")
+#: Classes whose runs are one unknown word, also where the dictionary has words.
+RUNS = ("KATAKANA", "NUMERIC", "ALPHA")
+#: Characters that an unknown word of a whole run has at most.
+LONGEST_RUN = 24
+BOS = "BOS/EOS,*,*,*,*,*,*,*,*"
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A character's classes (bits), the first of them, and how unknown words that begin with it are made."""
+
+    classes: int
+    first: int
+    invoke: bool
+    group: bool
+    length: int
 
+    def akin(self, other: Kind) -> bool:
+        return bool(self.classes & other.classes)
+
+
+class Characters:
+    """Kinds of characters by code point."""
+
+    def __init__(self, names: list[str], kinds: Callable[[int], Kind]) -> None:
+        self.names, self.kinds, self.known = names, kinds, {}
+        self.space = 1 << names.index("SPACE")
+
+    def of(self, c: str) -> Kind:
+        if (found := self.known.get(c)) is None:
+            found = self.known[c] = self.kinds(ord(c))
+        return found
+
+    def __getstate__(self):
+        return self.names, self.kinds
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+
+def _plain_kind(code: int) -> Kind:
+    name = next((name for name, low, high in CLASSES if low <= code <= high), "SYMBOL")
+    at = _PLAIN.index(name)
+    return Kind(1 << at, at, name in RUNS, name in RUNS, 0 if name in RUNS else 1)
+
+
+_PLAIN = [*UNKNOWN, "SPACE"]
+
+
+@dataclass(frozen=True)
+class _TableKinds:
+    """Kinds by the records of a compiled dictionary; beyond the table, that of the first code point."""
 
-def char_class(c: str) -> str:
-    code = ord(c)
-    return next((name for name, low, high in CLASSES if low <= code <= high), "SYMBOL")
+    table: np.ndarray
+
+    def __call__(self, code: int) -> Kind:
+        x = int(self.table[code if code < len(self.table) else 0])
+        return Kind(x & 0x3FFFF, x >> 18 & 0xFF, bool(x >> 31), bool(x >> 30 & 1), x >> 26 & 15)
 
 
 @dataclass
 class Lexicon:
-    """Dictionary words, connection costs by (right id of the first, left id of the second), and options."""
+    """Dictionary words, connection costs by (right id of the first, left id of the second), characters, and options.
+
+    partial: texts are lines, ``surface<tab>feature`` for a word that is given (``*``: any feature) and plain ones for
+    stretches whose ends alone are.  theta: how sharply costs become probabilities, where ``marginal`` asks for these.
+    """
 
     entries: list[Entry]
-    matrix: dict[tuple[int, int], int] = field(default_factory=dict)
+    matrix: dict[tuple[int, int], int] | np.ndarray = field(default_factory=dict)
     partial: bool = False
     theta: float = 0.75
+    marginal: bool = False
+    characters: Characters = field(default_factory=lambda: Characters(_PLAIN, _plain_kind))
+    unknown: dict[str, list[Entry]] | None = None
 
     def __post_init__(self) -> None:
         self.theta = float(np.float32(self.theta))
-        if self.partial or self.theta != 0.75:
-            raise ValueError("partial tokenizing and theta are not implemented: only their defaults are taken")
+        if self.unknown is None:
+            self.unknown = {name: [Entry(name, 0, 0, cost, feature)] for name, (cost, feature) in UNKNOWN.items()}
         self.by_surface: dict[str, list[Entry]] = {}
         for e in self.entries:
             self.by_surface.setdefault(e.surface, []).append(e)
         self.longest = max(map(len, self.by_surface), default=0)
 
+    @classmethod
+    def opened(cls, compiled: Compiled, **options) -> Lexicon:
+        """Of a compiled dictionary."""
+        entry = lambda w: Entry(w.surface, w.left, w.right, w.cost, w.feature, w.posid)
+        names = [c.name for c in compiled.categories]
+        return cls([entry(w) for w in compiled.words], np.ascontiguousarray(compiled.matrix.T), characters=Characters(names, _TableKinds(compiled.characters)), unknown={n: [entry(w) for w in own] for n, own in compiled.unknown.items()}, **options)
+
+    @classmethod
+    def of_table(cls, rows: DataFrame, **options) -> Lexicon:
+        """Of a table of surface, left_id, right_id, cost and feature; its size is checked, as every worker gets it."""
+        if rows.count() > MOST_WORDS:
+            raise ValueError(f"a lexicon of more than {MOST_WORDS} words is not handed to the workers")
+        return cls([Entry(r["surface"], r["left_id"], r["right_id"], r["cost"], r["feature"]) for r in rows.orderBy("surface", "left_id", "right_id", "cost", "feature").collect()], **options)
+
     def connection(self, right: int, left: int) -> int:
-        return self.matrix.get((right, left), 0)
+        return int(self.matrix[right, left]) if isinstance(self.matrix, np.ndarray) else self.matrix.get((right, left), 0)
 
     def at(self, text: str, i: int) -> list[tuple[Entry, int]]:
         """Words that begin at a place, and their kind (0 known, 1 unknown)."""
         found = [(e, 0) for n in range(1, min(self.longest, len(text) - i) + 1) for e in self.by_surface.get(text[i : i + n], ())]
-        kind = char_class(text[i])
-        if not found or kind in ALWAYS:
-            j = i + 1
-            while kind in RUNS and j < len(text) and char_class(text[j]) == kind:
-                j += 1
-            cost, feature = UNKNOWN.get(kind, UNKNOWN["SYMBOL"])
-            found.append((Entry(text[i:j], 0, 0, cost, feature), 1))
-        return found
+        kind = self.characters.of(text[i])
+        if found and not kind.invoke:
+            return found
+        stops = []
+        j = i + 1
+        while j < len(text) and kind.akin(self.characters.of(text[j])):
+            j += 1
+        if kind.group and j - i <= LONGEST_RUN:
+            stops.append(j)
+        stops += [n for n in range(i + 1, min(j, i + kind.length) + 1) if n not in stops]
+        if not found and not stops:
+            stops = [i + 1]
+        name = self.characters.names[kind.first]
+        return found + [(replace(e, surface=text[i:stop]), 1) for stop in stops for e in self.unknown.get(name, ())]
 
-    def paths(self, text: str, n: int = 1) -> Iterator[list[tuple[Entry, int, int, int]]]:
-        """The n cheapest paths, cheapest first: (entry, kind, begin, cost up to here) of each word."""
+    def paths(self, text: str, n: int = 1) -> Iterator[list[Node]]:
+        """The n cheapest paths, cheapest first."""
         if "\0" in text:
             raise ValueError("a text cannot hold the character 0")
+        text, given, inside = stated(text) if self.partial else (text, {}, frozenset())
         size = len(text)
+        cuts = sorted({c for a, (b, _) in given.items() for c in (a, b)})
         # nodes: (entry, kind, begin, real begin, best cost up to its end)
         ending: list[list[tuple]] = [[] for _ in range(size + 1)]
-        ending[0].append((Entry("", 0, 0, 0, "BOS/EOS"), 2, 0, 0, 0))
+        ending[0].append((Entry("", 0, 0, 0, BOS), 2, 0, 0, 0))
         for i in range(size):
             if not ending[i]:
                 continue
             j = i
-            while j < size and char_class(text[j]) == "SPACE":
+            while j < size and (j not in given or given[j][1] is None) and self.characters.of(text[j]).classes & self.characters.space:
                 j += 1
             if j == size:
-                ending[size] += ending[i] if i < size else []
+                ending[size] += ending[i]
                 continue
-            for entry, kind in self.at(text, j):
+            found = self.at(text, j)
+            if self.partial:
+                found = self._within(found, text, j, given, inside, cuts)
+            for entry, kind in found:
                 cost = min(p[4] + self.connection(p[0].right, entry.left) for p in ending[i]) + entry.cost
                 ending[j + len(entry.surface)].append((entry, kind, i, j, cost))
+        told = self._marginals(ending) if self.marginal else {}
         tie = 0
         heap = [(p[4] + self.connection(p[0].right, 0), (tie := tie + 1), self.connection(p[0].right, 0), (p, None)) for p in ending[size]]
         heapq.heapify(heap)
@@ -127,7 +216,7 @@ class Lexicon:
                 while left is not None:
                     p, left = left
                     total += self.connection(before[0].right, p[0].left) + p[0].cost
-                    out.append((p[0], p[1], p[3], total))
+                    out.append(Node(p[0], p[1], p[3], total, *told.get(id(p), (0.0, 0.0, 0.0))))
                     before = p
                 yield out
                 continue
@@ -136,9 +225,77 @@ class Lexicon:
                 link = self.connection(p[0].right, node[0].left)
                 heapq.heappush(heap, (p[4] + link + behind, (tie := tie + 1), link + behind, (p, path)))
 
+    def _within(self, found: list, text: str, at: int, given: dict, inside: frozenset, cuts: list[int]) -> list:
+        """Words that break none of what is given; where a word is given that none is, one of that feature."""
+        if at in given and given[at][1] is not None:
+            end, feature = given[at]
+            own = [(e, k) for e, k in found if at + len(e.surface) == end and fits(e.feature, feature)]
+            kinds = self.unknown.get(self.characters.names[self.characters.of(text[at]).first], ())
+            return own or [(Entry(text[at:end], e.left, e.right, e.cost, e.feature if feature == "*" else feature), 1) for e in (kinds or [Entry("", 0, 0, 0, BOS)])[:1]]
+        stop = next((c for c in cuts if c > at), len(text))
+        kept = [(e, k) for e, k in found if at + len(e.surface) <= stop and at + len(e.surface) not in inside]
+        return kept or [(replace(e, surface=text[at:stop]), 1) for e in [*self.unknown.get(self.characters.names[self.characters.of(text[at]).first], ()), Entry("", 0, 0, 0, BOS)][:1]]
+
+    def _marginals(self, ending: list[list[tuple]]) -> dict[int, tuple[float, float, float]]:
+        """alpha, beta and the probability of each node, by its id."""
+        alpha: dict[int, float] = {}
+        for nodes in ending:
+            for p in nodes:
+                if id(p) not in alpha:
+                    alpha[id(p)] = 0.0 if p[1] == 2 else _log_sum([alpha[id(b)] - self.theta * (self.connection(b[0].right, p[0].left) + p[0].cost) for b in ending[p[2]]])
+        last = [(alpha[id(p)] - self.theta * self.connection(p[0].right, 0), p) for p in ending[-1]]
+        total = _log_sum([x for x, _ in last])
+        after: dict[int, list[float]] = {}
+        for _, p in last:
+            after.setdefault(id(p), []).append(-self.theta * self.connection(p[0].right, 0))
+        beta: dict[int, float] = {}
+        for p in sorted({id(p): p for nodes in ending for p in nodes}.values(), key=lambda p: (-p[3] - len(p[0].surface), -p[3])):
+            beta[id(p)] = _log_sum(after.get(id(p), [])) if id(p) in after else -math.inf
+            if p[1] != 2 and beta[id(p)] > -math.inf:
+                for b in ending[p[2]]:
+                    after.setdefault(id(b), []).append(beta[id(p)] - self.theta * (self.connection(b[0].right, p[0].left) + p[0].cost))
+        return {i: (alpha[i], beta[i], math.exp(min(0.0, alpha[i] + beta[i] - total))) for i in alpha}
+
+
+class Node(NamedTuple):
+    """A word of a path: its entry, its kind, where it begins, the path's cost up to it, and its marginals."""
+
+    entry: Entry
+    kind: int
+    begin: int
+    cost: int
+    alpha: float = 0.0
+    beta: float = 0.0
+    prob: float = 0.0
+
+
+def _log_sum(xs: list[float]) -> float:
+    top = max(xs)
+    return top + math.log(sum(math.exp(x - top) for x in xs))
+
+
+def stated(text: str) -> tuple[str, dict[int, tuple[int, str | None]], frozenset[int]]:
+    """A partly analysed text: the plain one, and by its begin each line's end and feature (none: a free stretch); places inside words."""
+    plain, given, inside = "", {}, set()
+    for line in text.split("\n"):
+        if line == "EOS" or not line:
+            continue
+        surface, tab, feature = line.partition("\t")
+        at, plain = len(plain), plain + surface
+        if surface:
+            given[at] = (len(plain), feature if tab else None)
+            if tab:
+                inside.update(range(at + 1, len(plain)))
+    return plain, given, frozenset(inside)
+
+
+def fits(feature: str, asked: str) -> bool:
+    """Whether a record has the fields that are asked for; ``*`` in either is any, and the shorter one decides."""
+    return all("*" in (a, b) or a == b for a, b in zip(feature.split(","), asked.split(","), strict=False))
+
 
-def printed_path(path: list) -> str:
-    return "".join(f"{e.surface}\t{e.feature}\n" for e, *_ in path) + "EOS\n"
+def printed_path(path: list[Node]) -> str:
+    return "".join(f"{x.entry.surface}\t{x.entry.feature}\n" for x in path) + "EOS\n"
 
 
 def tokenized(texts: DataFrame, keys: list[str], text: str, lexicon: Lexicon, n: int = 1) -> DataFrame:
@@ -152,12 +309,14 @@ def tokenized(texts: DataFrame, keys: list[str], text: str, lexicon: Lexicon, n:
             rows = []
             for key, said in zip(batch[keys].itertuples(index=False), batch[text], strict=True):
                 for rank, path in enumerate(handed.value.paths(said or "", n), 1):
-                    end = 0
-                    for idx, (e, kind, begin, cost) in enumerate(path):
+                    end, plain = 0, stated(said or "")[0] if handed.value.partial else said or ""
+                    for idx, x in enumerate(path):
+                        e = x.entry
                         size = len(e.surface.encode())
-                        gap = len((said or "")[end:begin].encode())
-                        end = begin + len(e.surface)
-                        rows.append((*key, rank, idx, idx + 1, e.surface, e.feature, size, size + gap, e.right, e.left, 0, 0, kind, rank == 1, 0.0, 0.0, 0.0, e.cost, cost))
+                        gap = len(plain[end : x.begin].encode())
+                        end = x.begin + len(e.surface)
+                        kind = handed.value.characters.of(e.surface[0]).first
+                        rows.append((*key, rank, idx, idx + 1, e.surface, e.feature, size, size + gap, e.right, e.left, e.posid, kind, x.kind, rank == 1, x.alpha, x.beta, x.prob, e.cost, x.cost))
             yield pd.DataFrame(rows, columns=[*keys, "rank", "idx", *names])
 
     return texts.select(*keys, text).mapInPandas(run, schema)

@@ -14,7 +14,7 @@ from .operators.match import match_texts, nested
 from .operators.native import Plan, find_native
 from .operators.resolve import priority, resolve, spanned, within_span
 from .plans.pattern import parse
-from .sources import dictionary, rules
+from .sources import compiled, dictionary, rules
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -421,15 +421,39 @@ def lattice_best(spark, sf_dir):
     return found.groupBy("text_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "surface"))), lambda x: x["surface"]), " ").alias("words"))
 
 
-@_query()
+_LEXICON = ", ".join(f"('{e.surface}', {e.cost})" for e in lattice.MINI.entries)
+_SAID = ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(_TEXTS))
+
+
+@_query(f"""WITH RECURSIVE lexicon(surface, cost) AS (VALUES {_LEXICON}), texts(text_id, said) AS (VALUES {_SAID}),
+walk AS (
+  SELECT text_id, said, 0 AS place, 0::BIGINT AS cost FROM texts WHERE said <> ''
+  UNION ALL
+  SELECT w.text_id, w.said, w.place + length(l.surface), w.cost + l.cost FROM walk w JOIN lexicon l ON starts_with(substr(w.said, w.place + 1), l.surface)
+  UNION ALL
+  SELECT w.text_id, w.said, w.place + 1, w.cost + CASE WHEN regexp_matches(substr(w.said, w.place + 1, 1), '[ぁ-ゟ]') THEN 12000 ELSE 10000 END FROM walk w
+  WHERE w.place < length(w.said) AND NOT EXISTS (SELECT 1 FROM lexicon l WHERE starts_with(substr(w.said, w.place + 1), l.surface)))
+SELECT text_id, rank::INT AS rank, cost FROM (SELECT text_id, cost, row_number() OVER (PARTITION BY text_id ORDER BY cost) AS rank FROM walk WHERE place = length(said)) WHERE rank <= 9""")
 def nbest(spark, sf_dir):
-    return lattice.n_best_printed(_texts(spark), ["text_id"], "text", lattice.MINI, 3)
+    """What the nine cheapest paths of each text cost."""
+    found = lattice.tokenized(_texts(spark), ["text_id"], "text", lattice.MINI, 9)
+    return found.groupBy("text_id", "rank").agg(F.max("cost").alias("cost"))
+
+
+def _packed_dictionary() -> bytes:
+    """The small lexicon, compiled with characters and unknown words of its own, and packed."""
+    ranges = "0x0009..0x000D SPACE,0x0020 SPACE,0x3000 SPACE,0x0030..0x0039 NUMERIC,0x0041..0x005A ALPHA,0x0061..0x007A ALPHA,0x00C0..0x024F ALPHA"
+    categories, table = compiled.characters_of(["DEFAULT 0 0 1", "SPACE 0 0 1", "NUMERIC 1 1 0", "ALPHA 1 1 0", *ranges.split(",")])
+    words = [compiled.Word(e.surface, e.left, e.right, e.cost, e.feature) for e in lattice.MINI.entries]
+    costs = {"DEFAULT": (8_000, "記号,一般,*,*,*,*,*"), "SPACE": (0, "記号,空白,*,*,*,*,*"), "NUMERIC": (4_000, "名詞,数,*,*,*,*,*"), "ALPHA": (6_000, "名詞,固有名詞,組織,*,*,*,*")}
+    unknown = [compiled.Word(name, 0, 0, cost, feature) for name, (cost, feature) in costs.items()]
+    files = compiled.compiled_files(words, unknown, compiled.matrix_of(["2 2"]), categories, table)
+    return dictionary.pack([(name, files[name]) for name in dictionary.FILES])
 
 
-@_query("SELECT 'lexicon' AS filename, 'utf-8' AS charset, 39::BIGINT AS size, 0 AS type, 2::BIGINT AS lsize, 2::BIGINT AS rsize, 102 AS version")
+@_query("SELECT 'sys.dic' AS filename, 'utf-8' AS charset, 39::BIGINT AS size, 0 AS type, 2::BIGINT AS lsize, 2::BIGINT AS rsize, 102 AS version")
 def dictionary_info(spark, sf_dir):
-    rows = [(e.surface, e.left, e.right, e.cost, e.feature) for e in lattice.MINI.entries]
-    return dictionary.dictionary_info(spark.createDataFrame(rows, dictionary.LEXICON))
+    return dictionary.dictionary_infos(spark, compiled.open_packed(_packed_dictionary()))
 
 
 @_query("SELECT * FROM (VALUES ('a', 1::BIGINT), ('b', 0::BIGINT)) v(name, size)")

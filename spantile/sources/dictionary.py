@@ -107,3 +107,9 @@ def dictionary_info(lexicon: DataFrame, filename: str = "lexicon", kind: int = 0
     return lexicon.agg(F.count(F.lit(1)).alias("size"), (F.coalesce(F.max("left_id"), F.lit(-1)) + 1).cast("long").alias("lsize"), (F.coalesce(F.max("right_id"), F.lit(-1)) + 1).cast("long").alias("rsize")).select(
         F.lit(filename).alias("filename"), F.lit("utf-8").alias("charset"), "size", F.lit(kind).alias("type"), "lsize", "rsize", F.lit(DICTIONARY_VERSION).alias("version")
     )
+
+
+def dictionary_infos(spark: SparkSession, compiled) -> DataFrame:
+    """One row for each lexicon of a compiled dictionary: filename, charset, size, type, lsize, rsize, version."""
+    names = ("filename", "charset", "size", "type", "lsize", "rsize", "version")
+    return spark.createDataFrame([tuple(i[n] for n in names) for i in compiled.infos], "filename string, charset string, size long, type int, lsize long, rsize long, version int")

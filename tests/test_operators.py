@@ -1,6 +1,7 @@
 """Resolution, phrases, sources, the lattice and the catalogue."""
 
 import gzip
+import math
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from spantile.operators import catalogue, consumers, lattice, phrases, tokens
 from spantile.operators.api import PatternSet
 from spantile.operators.resolve import priority, resolve
-from spantile.sources import dictionary, rules
+from spantile.sources import compiled, dictionary, rules
 
 
 def test_priority(spark):
@@ -57,13 +58,13 @@ def test_find_all(spark):
 
 
 def test_lattice(spark):
-    best = lambda t: [e.surface for e, *_ in next(lattice.MINI.paths(t))]
+    best = lambda t: [x.entry.surface for x in next(lattice.MINI.paths(t))]
     assert {"すもも", "もも"} <= set(best("すもももももももものうち")) and best("東京都に住んでいます")[:3] == ["東京", "都", "に"]
     assert best("携帯電話番号を入力する")[:3] == ["携帯", "電話", "番号"] and {"私", "学生"} <= set(best("私は学生です"))
     assert best("こんにちは") and best("コンピューター") == ["コンピューター"] and best("") == [] and best(" 東京  都 ") == ["東京", "都"]
     paths = [lattice.printed_path(p) for p in lattice.MINI.paths("すもももももももものうち", 5)]
     assert len(set(paths)) == len(paths) > 1 and all(p.endswith("EOS\n") for p in paths)
-    costs = [p[-1][3] for p in lattice.MINI.paths("いくら騒いでも大丈夫だ", 6)]
+    costs = [p[-1].cost for p in lattice.MINI.paths("いくら騒いでも大丈夫だ", 6)]
     assert costs == sorted(costs)
     with pytest.raises(ValueError):
         list(lattice.MINI.paths("a\0b"))
@@ -241,7 +242,126 @@ def test_consumers(spark):
     assert shown == ["a  b / c", "d"]
 
 
-@pytest.mark.parametrize("option", [{"partial": True}, {"theta": 0.5}])
-def test_lattice_options_that_do_nothing_are_refused(option):
-    with pytest.raises(ValueError):
-        lattice.Lexicon([], **option)
+# A small dictionary's definitions.
+DEFINITIONS = {
+    "a.csv": "東京,1,1,3000,名詞,固有名詞,地域,一般,*,*,東京,トウキョウ,トーキョー\nも,2,2,1500,助詞,係助詞,*,*,*,*,も,モ,モ\nもも,1,1,2500,名詞,一般,*,*,*,*,もも,モモ,モモ\n",
+    "b.csv": "すもも,1,1,2500,名詞,一般,*,*,*,*,すもも,スモモ,スモモ\n\"a,b\",1,1,100,名詞,一般,*,*,*,*,\"a,b\",*,*\nの,2,2,1500,助詞,連体化,*,*,*,*,の,ノ,ノ\nも,1,1,9000,名詞,一般,*,*,*,*,も,モ,モ\nうち,1,1,3000,名詞,非自立,*,*,*,*,うち,ウチ,ウチ\n",
+    "matrix.def": "3 3\n" + "".join(f"{a} {b} {c}\n" for a, b, c in ((0, 0, 0), (0, 1, -100), (0, 2, 900), (1, 0, -50), (1, 1, 700), (1, 2, -300), (2, 0, 10), (2, 1, -200), (2, 2, 1000))),
+    "char.def": "DEFAULT 0 1 0 # rest\nSPACE 0 1 0\nKANJI 0 0 2\nHIRAGANA 0 1 2\nKATAKANA 1 1 2\nALPHA 1 1 0\nNUMERIC 1 1 0\n0x0020 SPACE\n0x0030..0x0039 NUMERIC\n0x0041..0x005A ALPHA\n0x0061..0x007A ALPHA\n0x3041..0x309F HIRAGANA\n0x30A1..0x30FF KATAKANA\n0x30FC KATAKANA HIRAGANA\n0x4E00..0x9FA5 KANJI\n",
+    "unk.def": "DEFAULT,1,1,8000,記号,一般,*,*,*,*,*\nSPACE,1,1,0,記号,空白,*,*,*,*,*\nKANJI,1,1,11000,名詞,一般,*,*,*,*,*\nHIRAGANA,1,1,13000,名詞,一般,*,*,*,*,*\nKATAKANA,1,1,9000,名詞,一般,*,*,*,*,*\nKATAKANA,1,1,9500,名詞,固有名詞,*,*,*,*,*\nALPHA,1,1,6000,名詞,固有名詞,*,*,*,*,*\nNUMERIC,1,1,4000,名詞,数,*,*,*,*,*\n",
+    "dicrc": "; settings\ncost-factor = 800\nbos-feature = BOS/EOS,*\n",
+}
+
+
+@pytest.fixture(params=["utf-8", "euc-jp"])
+def dictionary_dir(tmp_path, request):
+    (tmp_path / "src").mkdir()
+    for name, text in DEFINITIONS.items():
+        (tmp_path / "src" / name).write_bytes(text.encode(request.param))
+    compiled.compile_dictionary(str(tmp_path / "src"), str(tmp_path / "dic"), request.param)
+    return tmp_path
+
+
+def test_compiled_dictionary(spark, dictionary_dir):
+    """Compiled from definitions in either charset, packed, opened from the folder and from the container."""
+    opened = compiled.open_dictionary(str(dictionary_dir / "dic"))
+    want = sorted((x.surface, x.left, x.right, x.cost, x.feature) for name in ("a.csv", "b.csv") for x in compiled.words_of_csv(DEFINITIONS[name].splitlines(), name))
+    assert sorted((w.surface, w.left, w.right, w.cost, w.feature) for w in opened.words) == want and '"a,b"' in [w.feature.split(",名詞")[0] for w in opened.words if w.surface == "a,b"][0] or "a,b" in [w.surface for w in opened.words]
+    assert opened.settings == {"cost-factor": "800", "bos-feature": "BOS/EOS,*"}
+    assert [tuple(r) for r in dictionary.dictionary_infos(spark, opened).collect()] == [("sys.dic", "utf-8", 8, 0, 3, 3, 102)]
+    dictionary.pack_dir(str(dictionary_dir / "dic"), str(dictionary_dir / "packed"))
+    packed = compiled.open_packed((dictionary_dir / "packed").read_bytes())
+    assert packed.words == opened.words and (packed.matrix == opened.matrix).all()
+    (dictionary_dir / "user.csv").write_text("東京都,1,1,-5000,名詞,固有名詞,*,*,*,*,東京都,*,*\n", encoding="utf-8")
+    compiled.compile_user(str(dictionary_dir / "user.csv"), str(dictionary_dir / "user.dic"), opened)
+    both = compiled.open_dictionary(str(dictionary_dir / "dic"), (str(dictionary_dir / "user.dic"),))
+    assert [i["type"] for i in both.infos] == [0, 1]
+    lexicon, more = lattice.Lexicon.opened(packed), lattice.Lexicon.opened(both)
+    shown = lambda lex, t: [x.entry.surface for x in next(lex.paths(t))]
+    assert shown(lexicon, "すもももももももものうち") == ["すもも", "も", "もも", "も", "もも", "の", "うち"]
+    assert shown(more, "東京都に")[:1] == ["東京都"] and shown(lexicon, "東京都")[0] == "東京"
+    assert shown(lexicon, "abc 12ラーメン") == ["abc", "12", "ラーメン"] and shown(lexicon, "") == []
+    rows = lattice.tokenized(spark.createDataFrame([(1, "東京も")], "k long, text string"), ["k"], "text", lexicon).orderBy("idx").collect()
+    assert [(r.surface, r.rc_attr, r.lc_attr, r.wcost, r.cost, r.stat) for r in rows] == [("東京", 1, 1, 3000, 2900, 0), ("も", 2, 2, 1500, 4100, 0)]
+
+
+def test_paths_are_the_cheapest(dictionary_dir):
+    """All cuts of a text into words, costed one by one."""
+    lexicon = lattice.Lexicon.opened(compiled.open_dictionary(str(dictionary_dir / "dic")))
+
+    def every(text, i=0):
+        if i == len(text):
+            yield []
+        else:
+            for e, _ in lexicon.at(text, i):
+                for rest in every(text, i + len(e.surface)):
+                    yield [e, *rest]
+
+    for text in ("すもももももも", "東京もも12も", "カタカナも", "漢字東京"):
+        cost = lambda p: sum(e.cost for e in p) + sum(lexicon.connection(a, b) for a, b in zip([0, *(e.right for e in p)], [*(e.left for e in p), 0], strict=True))
+        want = sorted(cost(p) for p in every(text))
+        got = list(lexicon.paths(text, 50))
+        assert [cost([x.entry for x in p]) for p in got] == want[:50]
+
+
+def test_marginals(dictionary_dir):
+    """Probabilities of words by all paths; a sharper theta leaves the best path alone."""
+    opened = compiled.open_dictionary(str(dictionary_dir / "dic"))
+    lexicon = lattice.Lexicon.opened(opened, theta=0.001, marginal=True)
+    assert lexicon.theta == pytest.approx(0.001) and lexicon.theta != 0.001
+    paths = list(lexicon.paths("すももも", 200))
+    weigh = lambda p: math.exp(-lexicon.theta * (p[-1].cost + lexicon.connection(p[-1].entry.right, 0)))
+    total = sum(map(weigh, paths))
+    for x in paths[0]:
+        own = sum(weigh(p) for p in paths if any(y.entry == x.entry and y.begin == x.begin for y in p))
+        assert x.prob == pytest.approx(own / total, rel=1e-6)
+    assert all(x.prob > 0.999 for x in next(lattice.Lexicon.opened(opened, marginal=True).paths("すももも")))
+    assert all((x.alpha, x.beta, x.prob) == (0, 0, 0) for x in next(lattice.Lexicon.opened(opened).paths("すももも")))
+
+
+def test_partial(spark, dictionary_dir):
+    """Given words and stretches: nothing crosses their ends, and a word that no lexicon has is made."""
+    lexicon = lattice.Lexicon.opened(compiled.open_dictionary(str(dictionary_dir / "dic")), partial=True)
+    best = lambda t: [(x.entry.surface, x.entry.feature.split(",")[0]) for x in next(lexicon.paths(t))]
+    assert best("すもももも") == [("すもも", "名詞"), ("も", "助詞"), ("も", "助詞")] or len(best("すもももも")) >= 2
+    assert best("す\nもももも\nEOS\n")[0][0] == "す"
+    assert best("もも\t*\nも\t名詞\nも\n")[:2] == [("もも", "名詞"), ("も", "名詞")]
+    assert best("もも\t動詞,自立\nの") == [("もも", "動詞"), ("の", "助詞")]
+    assert best("東京もも\t*\n") == [("東京もも", "名詞")]
+    rows = lattice.tokenized(spark.createDataFrame([(1, "もも\t*\n の")], "k long, text string"), ["k"], "text", lexicon).orderBy("idx").collect()
+    assert [(r.surface, r.length, r.rlength) for r in rows] == [("もも", 6, 6), ("の", 3, 4)]
+
+
+def test_definitions_that_cannot_be(tmp_path):
+    def compiled_with(**changed):
+        for name, text in (DEFINITIONS | {k.replace("_", "."): v for k, v in changed.items()}).items():
+            (tmp_path / name).unlink(missing_ok=True)
+            if text is not None:
+                (tmp_path / name).write_text(text, encoding="utf-8")
+        compiled.compile_dictionary(str(tmp_path), str(tmp_path / "out"))
+
+    compiled_with()
+    for changed in ({"matrix_def": None}, {"matrix_def": "x"}, {"char_def": "DEFAULT 0 1 0\n"}, {"unk_def": "NONE,0,0,0,x\n"}, {"a_csv": "東京,9,1,3000,名詞\n"}, {"a_csv": "東京,-1,1,3000,名詞\n"}, {"a_csv": "one,two\n"}):
+        with pytest.raises(dictionary.DictionaryError):
+            compiled_with(**changed)
+    compiled_with()
+    for name, data in (("sys.dic", b""), ("sys.dic", b"x" * 100), ("matrix.bin", b"\1\0\1\0"), ("char.bin", b"\1\0\0\0")):
+        old = (tmp_path / "out" / name).read_bytes()
+        (tmp_path / "out" / name).write_bytes(data)
+        with pytest.raises(dictionary.DictionaryError):
+            compiled.open_dictionary(str(tmp_path / "out"))
+        (tmp_path / "out" / name).write_bytes(old)
+    with pytest.raises(dictionary.DictionaryError):
+        compiled.open_dictionary(str(tmp_path / "nowhere"))
+
+
+def test_double_array():
+    rnd = random.Random(3)
+    keys = sorted({bytes(rnd.choice(b"abc\xe3\x81\xff") for _ in range(rnd.randint(1, 6))) for _ in range(500)})
+    units = compiled.double_array(keys, list(range(len(keys))))
+    assert sorted(compiled.keys_of(units)) == [(k, i) for i, k in enumerate(keys)]
+
+
+def test_lexicon_of_a_table(spark):
+    rows = spark.createDataFrame([("もも", 1, 1, 10, "名詞"), ("も", 2, 2, 20, "助詞")], dictionary.LEXICON)
+    assert [x.entry.surface for x in next(lattice.Lexicon.of_table(rows).paths("もも も"))] == ["もも", "も"]
