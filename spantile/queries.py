@@ -426,13 +426,17 @@ _SAID = ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(_TEXTS))
 
 
 @_query(f"""WITH RECURSIVE lexicon(surface, cost) AS (VALUES {_LEXICON}), texts(text_id, said) AS (VALUES {_SAID}),
-walk AS (
-  SELECT text_id, said, 0 AS place, 0::BIGINT AS cost FROM texts WHERE said <> ''
+places AS (SELECT text_id, said, unnest(range(0, length(said))) AS place FROM texts),
+known AS (SELECT text_id, place, length(surface) AS size, cost FROM places JOIN lexicon ON starts_with(substr(said, place + 1), surface)),
+words AS (
+  SELECT * FROM known
   UNION ALL
-  SELECT w.text_id, w.said, w.place + length(l.surface), w.cost + l.cost FROM walk w JOIN lexicon l ON starts_with(substr(w.said, w.place + 1), l.surface)
+  SELECT text_id, place, 1, CASE WHEN regexp_matches(substr(said, place + 1, 1), '[ぁ-ゟ]') THEN 12000 ELSE 10000 END FROM places p
+  WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.text_id = p.text_id AND k.place = p.place)),
+walk AS (
+  SELECT text_id, said, 0::BIGINT AS place, 0::BIGINT AS cost FROM texts WHERE said <> ''
   UNION ALL
-  SELECT w.text_id, w.said, w.place + 1, w.cost + CASE WHEN regexp_matches(substr(w.said, w.place + 1, 1), '[ぁ-ゟ]') THEN 12000 ELSE 10000 END FROM walk w
-  WHERE w.place < length(w.said) AND NOT EXISTS (SELECT 1 FROM lexicon l WHERE starts_with(substr(w.said, w.place + 1), l.surface)))
+  SELECT w.text_id, w.said, w.place + x.size, w.cost + x.cost FROM walk w JOIN words x ON w.text_id = x.text_id AND w.place = x.place)
 SELECT text_id, rank::INT AS rank, cost FROM (SELECT text_id, cost, row_number() OVER (PARTITION BY text_id ORDER BY cost) AS rank FROM walk WHERE place = length(said)) WHERE rank <= 9""")
 def nbest(spark, sf_dir):
     """What the nine cheapest paths of each text cost."""
