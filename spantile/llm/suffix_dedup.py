@@ -43,6 +43,8 @@ LENGTH = 200
 INNER = 100
 #: Bytes of text in a block, about, and bytes that are hashed at once.
 BLOCK_BYTES, SEGMENT = 4_000_000, 1 << 18
+#: Blocks whose sorted suffixes, all of them together, one task may merge.
+RANGE_BLOCKS = 8
 #: Documents whose text decides where the sorted order is cut into ranges: for balance alone.
 SAMPLE_DOCS = 1_000
 _B1, _B2, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, np.uint64(0xD6E8FEB86659FD93)
@@ -424,7 +426,8 @@ def repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each row's doc_id, n_bytes, n_removed, spans (begin, end, begin, end ...) and kept bytes."""
     spark = docs.sparkSession
     packed = written(blocks(docs))
-    cuts = splitters(docs, ranges or 4 * partitions(spark))
+    # a range merges what RANGE_BLOCKS blocks have at most, if their borders are spread evenly
+    cuts = splitters(docs, ranges or max(4 * partitions(spark), -(-packed.count() // RANGE_BLOCKS)))
     told = written(verdicts(packed))
     # one row a block on either side; a block's anchors bound what it is told
     runs = packed.select("block", "sizes", "data").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_runs(cuts), "part int, block long, data binary")
