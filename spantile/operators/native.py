@@ -117,6 +117,10 @@ class Plan:
                 out = part
                 continue
             left = (out if out is not None else self.everywhere()).withColumnRenamed("e", "mid")
+            if gap is not None and last and n and not items:
+                # tokens at the very end, after a gap: of all their places the last one is the longest
+                ends = part.groupBy(*self.keys).agg(F.max("s").alias("from"), F.max("e").alias("e"))
+                return left.join(ends, self.keys).where(F.col("from") >= F.col("mid") + gap).select(*self.keys, "s", "e").distinct()
             part = part.withColumnRenamed("s", "from")
             near = F.col("from") == F.col("mid") if gap is None else F.col("from") >= F.col("mid") + gap
             out, gap = left.join(part, self.keys).where(near).select(*self.keys, "s", "e").distinct(), None
