@@ -11,7 +11,8 @@ own ``insert`` and ``delete``).  Shards without such keys keep their filters as
 
 Defined cases: a null or empty text is one empty line; a null doc_id counts as one document and never is the largest;
 rows that repeat give their result as often; lines shorter than the limit always stay; an empty table gives an empty
-result.  A column that the caller has besides ``doc_id`` and ``text`` is kept, whatever its name.
+result.  A column that the caller has besides ``doc_id`` and ``text`` is kept, whatever its name, but for n_lines and
+n_dropped, which the results replace.
 """
 
 from __future__ import annotations
@@ -230,7 +231,7 @@ class LineIndex:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with its texts cleaned, and n_lines, n_dropped of each."""
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
         docs = docs.select("doc_id", whole(F.col("text")).alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("int").alias("rest"))
         drops = self.drops(docs.select("doc_id", "text")).select(F.col("doc_id").alias("of"), F.col("row").alias("at"), "drop")
         joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("at")), "left")

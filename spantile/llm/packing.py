@@ -6,8 +6,8 @@ each group by itself: the pieces go by falling length, each into the open window
 A group leaves at most a window or so of padding more than one packing of everything would.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat are packed as often; an empty table gives no
-pieces.  Columns besides those that are named here are kept by ``place``; one called _group, sequence_id or offset is
-refused.  Pieces that agree in all columns are of one group.
+pieces.  Columns besides those that are named here are kept by ``place``, but for sequence_id and offset, which the
+results replace.  Pieces that agree in all columns are of one group.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -115,19 +116,19 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
 
 def place(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
     """``pieces`` (doc_id, start, length and any more columns) with sequence_id and offset."""
+    pieces = pieces.drop("sequence_id", "offset")
+    own = next(name for n in count() if (name := f"group_{n}") not in pieces.columns)
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         windows, offsets = best_fit(part["length"].tolist(), window)
-        group = part.pop("_group").iloc[0]
+        group = part.pop(own).iloc[0]
         return part.assign(sequence_id=np.array(windows, dtype="int64") * groups + group, offset=np.array(offsets, dtype="int64"))
 
-    if {"_group", "sequence_id", "offset"} & set(pieces.columns):
-        raise ValueError("pieces have a column _group, sequence_id or offset already")
     # by all columns that a piece has, so that many documents under one id, or under none, go to many groups
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)))
+    dealt = pieces.withColumn(own, F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInPandas(pack, f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy(own).applyInPandas(pack, f"{schema}, sequence_id long, offset long")
 
 
 def group_count(docs: DataFrame) -> int:

@@ -13,7 +13,7 @@ many whole texts as MAX_BYTES allows: the bound on what the driver holds.  Every
 Defined cases: a null or empty text has the score of the bias alone; labels that are null or without a document are left
 out; with no labelled documents of both classes every score is the same and below 0.5; rows that repeat are scored as
 often, and of several texts under one labelled doc_id one trains; an empty table gives an empty result.  Other columns are
-never read; ``score`` and ``predicted`` of the caller's are refused.
+never read and are kept, but for ``score`` and ``predicted``, which the results replace.
 """
 
 from __future__ import annotations
@@ -169,9 +169,7 @@ def labelled(docs: DataFrame, labels: DataFrame, keep: Column, most: int = MAX_T
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the score of each text."""
-    if {"score", "predicted"} & set(docs.columns):
-        raise ValueError("docs has a column score or predicted already")
+    """``docs`` with the score of each text, in place of a column of that name."""
     handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[tuple[pd.Series]]) -> Iterator[pd.Series]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spantile.llm import decontaminate, fingerprints, licenses, lm_scoring, packing, sharding, toxicity
+from spantile.llm import decontaminate, fingerprints, licenses, line_dedup, lm_scoring, packing, sharding, toxicity
 
 
 def test_sharding(docs, rows, none):
@@ -480,12 +480,22 @@ def test_decontamination_of_letters_that_grow():
     assert edits_ == 0 and text[start:end] == "quick brown fox jumps"
 
 
-def test_columns_that_clash_are_refused(spark):
-    docs = spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, score double")
-    labels, bench = spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
-    for call in (lambda: toxicity.toxicity(docs, labels, F.lit(True)), lambda: decontaminate.holds_any(docs.withColumnRenamed("score", "leaks"), bench), lambda: packing.place(docs.withColumnRenamed("score", "offset"), 1)):
-        with pytest.raises(ValueError, match="already"):
-            call()
+def test_columns_that_clash(spark):
+    """Columns that have a result's name give way to it; others, whatever their names, stay as they are."""
+    docs = spark.createDataFrame([(1, "a b c", 0.25, 7, True, 3)], "doc_id long, text string, score double, predicted int, leaks boolean, rest int")
+    labels, bench = spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), spark.createDataFrame([(1, "no such thing")], "item_id long, text string")
+    [r] = toxicity.toxicity(docs, labels, F.lit(True)).collect()
+    assert sorted(r.asDict()) == sorted(docs.columns) and (r.predicted, r.leaks, r.rest) == (0, True, 3) and r.score != 0.25
+    [r] = decontaminate.holds_any(docs, bench).collect()
+    assert sorted(r.asDict()) == sorted(docs.columns) and (r.leaks, r.score, r.rest) == (False, 0.25, 3)
+    pieces = spark.createDataFrame([(1, 0, 5, 9, 9, 4, 6)], "doc_id long, start long, length long, sequence_id long, offset long, group_0 int, _group int")
+    [r] = packing.place(pieces, 1).collect()
+    assert sorted(r.asDict()) == sorted(pieces.columns) and (r.sequence_id, r.offset, r.group_0, r._group) == (0, 0, 4, 6)
+    more = docs.selectExpr("*", "1 AS row", "2 AS kid", "3 AS h1", "4 AS part", "5 AS block", "6 AS size", "7 AS shard", "8 AS lang", "9 AS n_lines")
+    [r] = line_dedup.dedup_lines(more).collect()
+    assert (r.n_lines, r.n_dropped, r.row, r.h1) == (1, 0, 1, 3) and len(r) == len(more.columns) + 1
+    for name, out in (("shards", sharding.kd_shards(more, 2)), ("scan", licenses.scan(more)), ("pack", packing.pack(more)), ("lm", lm_scoring.lm_scores(more)), ("next", fingerprints.with_next(more, {})), ("matches", decontaminate.matches(more, bench))):
+        assert out.count() == (0 if name == "matches" else 1), name
 
 
 def test_toxicity_takes_one_text_for_an_id(spark, monkeypatch):
