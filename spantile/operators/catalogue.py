@@ -268,10 +268,10 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     pick = lambda c: F.when(renewed, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     source = F.when(renewed & ~(known & F.coalesce(F.col("o.source") == "manual", F.lit(False))), F.col("n.source")).otherwise(F.col("o.source"))
     out = both.select(F.col("o.id").alias("id"), F.coalesce("o.rule_name", "n.rule_name").alias("rule_name"), *map(pick, fields), F.when(known, F.col("o.pattern")).otherwise(F.col("n.pattern")).alias("pattern"), source.alias("source"), F.when(known, F.col("o.created_at")).otherwise(F.current_timestamp()).alias("created_at"), F.when(renewed, F.current_timestamp()).otherwise(F.col("o.updated_at")).alias("updated_at"))
-    last = out.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    added = out.where("id IS NULL").drop("id").withColumn("_n", F.row_number().over(Window.orderBy("rule_name"))).crossJoin(F.broadcast(last))
+    last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = out.where("id IS NULL").drop("id").withColumn("_n", F.row_number().over(Window.orderBy("rule_name")))
     names = ["id", "rule_name", "levels", "name", "description", "connection", "pattern", "source", "source_url", "created_at", "updated_at"]
-    return out.where("id IS NOT NULL").select(*names).unionByName(added.withColumn("id", F.col("_last") + F.col("_n")).select(*names))
+    return out.where("id IS NOT NULL").select(*names).unionByName(added.withColumn("id", F.lit(last) + F.col("_n")).select(*names))
 
 
 def replaced_examples(old: DataFrame, new: DataFrame, excluded: DataFrame, manual: DataFrame) -> DataFrame:
@@ -299,7 +299,8 @@ def example_counts(grammars: DataFrame, examples: DataFrame) -> DataFrame:
 
 def totals(grammars: DataFrame, examples: DataFrame) -> DataFrame:
     """One row: the number of grammars and of examples."""
-    return grammars.agg(F.count(F.lit(1)).alias("grammars")).crossJoin(examples.agg(F.count(F.lit(1)).alias("examples")))
+    rows = grammars.select(F.lit("g").alias("kind")).unionByName(examples.select(F.lit("e").alias("kind")))
+    return rows.agg(F.count_if(F.col("kind") == "g").alias("grammars"), F.count_if(F.col("kind") == "e").alias("examples"))
 
 
 def with_pattern(rules: DataFrame) -> DataFrame:
