@@ -305,8 +305,11 @@ def set_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     for share, ranks in ROUNDS:
         lists_now = held.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
         placed = lists_now.select("key", "kid").join(parts.select(F.col("node").alias("kid"), "component"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
-        pairs = _scanned(placed.join(mixed, "key").join(sketches, "kid"), percent, ranks).distinct()
+        mixed = written(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size"))
+        longest = mixed.agg(F.max("size")).first()[0]
+        if longest is None:
+            continue
+        pairs = _scanned(placed.join(mixed, "key").join(sketches, "kid"), percent, ranks, longest).distinct()
         now = written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
         met = now if met is None else met.unionByName(now)
         more = None if now.isEmpty() else cut(_verified(now, docs, owners, sketches, k, percent))
@@ -316,25 +319,19 @@ def set_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     return rows.select("doc_id", "row", "n", "kid"), parts
 
 
-def _scanned(lists: DataFrame, percent: int, ranks: tuple[int, int | None]) -> DataFrame:
+def _scanned(lists: DataFrame, percent: int, ranks: tuple[int, int | None], longest: int) -> DataFrame:
     """Pairs (a, b) of a list's members of different components whose sizes and sketches leave a link possible.
 
-    lists: key, size (of the list), kid, component, n, sketch.  A long list is split by size: sizes that may link are in
+    lists: key, size (of the list, ``longest`` at most), kid, component, n, sketch.  A long list is split by size: sizes that may link are in
     the same band or in neighbouring ones, so each member meets its own band, and the next one as a guest; guests do not
     meet each other.  A band of a list that is still long is cut into blocks, and each pair of blocks is a group of its
     own, so that no task holds more than two blocks.
     """
     columns = ("key", "band", "low", "high", "own", "guest", "kid", "component", "n", "sketch")
     none = F.lit(0)
-    short = lists.where(F.col("size") <= LIST_BLOCK).withColumns({"band": F.lit(-1), "low": none, "high": none, "own": none, "guest": F.lit(False)})
-    # rounded down a little, so that an inexact logarithm does not part sizes that may link by more than a band
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.001 / percent))).cast("int")
-    long = lists.where(F.col("size") > LIST_BLOCK).withColumn("x", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))))
-    long = long.select("key", "x.band", "x.guest", "kid", "component", "n", "sketch")
-    many = long.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"), F.bool_and("guest").alias("guests")).where("NOT guests").drop("guests")
-    long = long.join(many, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("kid"), F.col("blocks")).cast("int"))
-    long = long.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "with"), "high": F.greatest("own", "with")})
-    dealt = short.select(*columns).unionByName(long.select(*columns))
+    dealt = lists.where(F.col("size") <= LIST_BLOCK).withColumns({"band": F.lit(-1), "low": none, "high": none, "own": none, "guest": F.lit(False)}).select(*columns)
+    if longest > LIST_BLOCK:
+        dealt = dealt.unionByName(_split(lists.where(F.col("size") > LIST_BLOCK), percent).select(*columns))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry = None
@@ -353,6 +350,17 @@ def _scanned(lists: DataFrame, percent: int, ranks: tuple[int, int | None]) -> D
     return dealt.repartition(*group).sortWithinPartitions(*group, "kid").mapInPandas(scan, "a long, b long")
 
 
+def _split(lists: DataFrame, percent: int) -> DataFrame:
+    """Long lists by bands of size, each with the guests of the band below, and blocks of bands."""
+    # rounded down a little, so that an inexact logarithm does not part sizes that may link by more than a band
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.001 / percent))).cast("int")
+    dealt = lists.withColumn("x", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))))
+    dealt = dealt.select("key", "x.band", "x.guest", "kid", "component", "n", "sketch")
+    many = dealt.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"), F.bool_and("guest").alias("guests")).where("NOT guests").drop("guests")
+    dealt = dealt.join(many, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("kid"), F.col("blocks")).cast("int"))
+    return dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "with"), "high": F.greatest("own", "with")})
+
+
 def _near(rows: pd.DataFrame, percent: int, ranks: tuple[int, int | None]) -> pd.DataFrame:
     """Pairs of whole lists, which stand one after the other.
 
