@@ -146,7 +146,7 @@ def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k
     likely = merged.where(F.col("votes") >= F.greatest(F.lit(1), size - k + 1 - k * F.ceil(size * (1 - coverage)))).select(F.col("doc_id").alias("of"), F.col("row").alias("at"), "template", "low", "high")
     # a document's spans are as many as its words allow; its text is sent and cut into words once
     grouped = likely.groupBy("of", "at").agg(F.collect_set(F.struct("template", "low", "high")).alias("asked"))
-    asked = docs.dropDuplicates(["doc_id", "row"]).join(grouped, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("at"))).select("doc_id", "row", "text", "asked")
+    asked = docs.join(grouped, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("at"))).select("doc_id", "row", "text", "asked").dropDuplicates(["doc_id", "row"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
