@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
@@ -232,7 +233,8 @@ class Lexicon:
             own = [(e, k) for e, k in found if at + len(e.surface) == end and fits(e.feature, feature)]
             kinds = self.unknown.get(self.characters.names[self.characters.of(text[at]).first], ())
             return own or [(Entry(text[at:end], e.left, e.right, e.cost, e.feature if feature == "*" else feature), 1) for e in (kinds or [Entry("", 0, 0, 0, BOS)])[:1]]
-        stop = next((c for c in cuts if c > at), len(text))
+        after = bisect_right(cuts, at)
+        stop = cuts[after] if after < len(cuts) else len(text)
         kept = [(e, k) for e, k in found if at + len(e.surface) <= stop and at + len(e.surface) not in inside]
         return kept or [(replace(e, surface=text[at:stop]), 1) for e in [*self.unknown.get(self.characters.names[self.characters.of(text[at]).first], ()), Entry("", 0, 0, 0, BOS)][:1]]
 
