@@ -5,19 +5,20 @@ for that: each string of LENGTH bytes picks an anchor, the K-byte inner string w
 strings pick the same anchor at the same place, and neighbouring strings mostly share theirs.  The suffixes at anchors
 are the sparse suffix array:
 
-1. Texts are packed into blocks, a table in the shared folder.  Blocks send one row for each distinct anchor; classes
-   (equal anchors) that occur once end here.
-2. Contexts (an anchor with all bytes that its strings cover) that occur twice settle all their strings.  What remains
-   are classes with several contexts: the borders of repeats.
-3. Each block sorts the suffixes of one copy of each such context, and sends the run, front-coded: for each suffix the
-   length of the prefix it shares with the one before, and the rest.  Runs are cut at splitters into ranges.
-4. Each range merges its runs with a loser tree that carries common-prefix lengths: bytes that two suffixes are known to
-   share are never compared again.  In the merged order a class is a stretch of suffixes that share K bytes; in it,
-   strings are compared whole, those alone that the common prefixes leave possible.
-5. Blocks blot out what has been found.
-
-A group of copies costs a row for each block that has it, and one context in step 3; no pairs are made.  A context is
-recognised by 128 bits of hashes; strings in step 4 by their bytes.
+1. Texts are packed into blocks, a table in the shared folder.  Blocks send one row for each distinct anchor and its
+   context (the anchor with all bytes that its strings cover), both as hashes; anchors that one block has in one context
+   end here.
+2. Each block sorts the suffixes of the contexts that are left, one copy of each, and sends the run, front-coded: for
+   each suffix the length of the prefix it shares with the one before, and the rest.  Runs are cut at splitters into ranges.
+3. Each range merges its runs with a loser tree that carries common-prefix lengths: bytes that two suffixes are known to
+   share are never compared again.  In the merged order a class is a stretch of suffixes that share the anchor's K bytes;
+   contexts that are equal there, byte for byte, repeat as a whole, and of the different ones strings are compared whole,
+   those alone that the common prefixes leave possible.
+4. Blocks blot out what has been found, and what stands twice in themselves.
+
+Hashes choose what is sorted; bytes decide what goes.  A group of copies costs one context for each block that has it, and
+no pairs are made.  A class is one range's work: copies are one dictionary entry each there, but an anchor in very many
+*different* surroundings makes a list of as many.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all; rows that repeat are copies of each other; a
 null doc_id is kept.  Other columns are ignored.
@@ -159,39 +160,20 @@ class Anchors:
         return order[at], np.diff(np.append(at, len(h))), context, shared
 
 
-def _asking(apart: bool):
-    """Rows of blocks: those to be dealt by anchor (one for each class of the block), or the contexts of its shared classes."""
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                a = Anchors(unpacked(r.data), r.sizes)
-                first, n, _, shared = a.local()
-                if apart:
-                    pick = shared
-                else:
-                    pick = np.concatenate(([True], a.h[first][1:] != a.h[first][:-1])) if len(first) else shared
-                yield pd.DataFrame({"h": a.h[first[pick]].view(np.int64), "c": a.c[first[pick]].view(np.int64), "block": r.block, "at": first[pick], "n": np.minimum(n[pick], 2), "shared": shared[pick]})
-
-    return ask
-
-_ASKED = "h long, c long, block long, at long, n long, shared boolean"
-SETTLED, SORTED = 1, 2
+def _asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each distinct anchor of a block; for each context of it where the block has several."""
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            a = Anchors(unpacked(r.data), r.sizes)
+            first, _, _, several = a.local()
+            yield pd.DataFrame({"h": a.h[first].view(np.int64), "c": a.c[first].view(np.int64), "block": r.block, "at": first, "several": several})
 
 
-def verdicts(packed: DataFrame) -> DataFrame:
-    """block, at, verdict: contexts that are settled (1), to be sorted (2), or both (3)."""
+def open_contexts(packed: DataFrame) -> DataFrame:
+    """block, at: the contexts whose anchor another block has, or the same block in another context."""
     by_class = Window.partitionBy("h")
-    classes = packed.mapInPandas(_asking(False), _ASKED).withColumns({"low": F.min("c").over(by_class), "high": F.max("c").over(by_class), "all": F.sum("n").over(by_class), "any": F.max("shared").over(by_class)})
-    mixed = F.col("any") | (F.col("low") != F.col("high"))
-    once = classes.where(~mixed & (F.col("all") >= 2)).select("block", "at", F.lit(SETTLED).alias("verdict"))
-    open_ = classes.where(mixed & ~F.col("shared")).select("h", "c", "block", "at", "n").unionByName(packed.mapInPandas(_asking(True), _ASKED).select("h", "c", "block", "at", "n"))
-    open_ = written(open_.withColumn("verdict", F.lit(0)).unionByName(once.select(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("c"), "block", "at", F.lit(0).cast("long").alias("n"), "verdict")))
-    asked = open_.where("verdict = 0").drop("verdict")
-    contexts = asked.groupBy("h", "c").agg(F.sum("n").alias("all"), F.min(F.struct("block", "at")).alias("one"))
-    several = asked.join(contexts, ["h", "c"])
-    told = F.when(F.col("all") >= 2, SETTLED).otherwise(0) + F.when((F.col("one.block") == F.col("block")) & (F.col("one.at") == F.col("at")), SORTED).otherwise(0)
-    return open_.where("verdict > 0").select("block", "at", "verdict").unionByName(several.select("block", "at", told.alias("verdict")).where("verdict > 0"))
+    rows = packed.mapInPandas(_asking, "h long, c long, block long, at long, several boolean")
+    return rows.withColumn("rows", F.count(F.lit(1)).over(by_class)).where("rows > 1").select("block", "at")
 
 
 # ---------------------------------------------------------------- runs
@@ -271,8 +253,7 @@ def _runs(splitters: list[bytes]):
     """Sorted, front-coded suffixes of a block's contexts, by range."""
 
     def make(packed: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        columns = ["part", "block", "lcps", "rests", "lefts", "ahead", "first", "count"]
-        told = told[told["verdict"] >= SORTED]
+        columns = ["part", "block", "lcps", "rests", "lefts", "first", "count"]
         if not len(packed) or not len(told):
             return pd.DataFrame(columns=columns)
         row = packed.iloc[0]
@@ -289,7 +270,7 @@ def _runs(splitters: list[bytes]):
             if high > low:
                 lcps, rests = front_coded(suffixes[low:high])
                 own = entries[low:high]
-                rows.append((part, int(row["block"]), lcps, rests, [e[1] for e in own], [len(e[1]) for e in own], [e[2] for e in own], [e[3] for e in own]))
+                rows.append((part, int(row["block"]), lcps, rests, [e[1] for e in own], [e[2] for e in own], [e[3] for e in own]))
             low = high
         out = pd.DataFrame(rows, columns=columns)
         for c in ("rests", "lefts"):
@@ -330,7 +311,31 @@ def _merged(part: pd.DataFrame) -> pd.DataFrame:
     shared: list[int] = []
 
     def settle() -> None:
-        """Finds equal strings within a class.  shared[i]: what member i shares with the one before."""
+        """Finds equal contexts and equal strings within a class.  shared[i]: what member i shares with the one before."""
+        nonlocal group, shared
+        # equal contexts repeat as a whole; one of them stays, to be held against the others
+        met: dict[tuple[bytes, bytes, int], int] = {}
+        own: list[tuple[bytes, bytes, int, int, int]] = []
+        own_shared: list[int] = []
+        link = LENGTH * 2
+        for member, common in zip(group, shared, strict=True):
+            suffix, left, block, first, count = member
+            link = min(link, common) if own else 0
+            before = met.get((suffix, left, count))
+            if before is None:
+                met[(suffix, left, count)] = len(own)
+                own.append(member)
+                own_shared.append(link)
+                link = LENGTH * 2
+                continue
+            found.setdefault(block, []).append((first, first + count - 1 + LENGTH))
+            if before >= 0:
+                _, _, block, first, count = own[before]
+                found.setdefault(block, []).append((first, first + count - 1 + LENGTH))
+                met[(suffix, left, count)] = -1
+        group, shared = own, own_shared
+        if len(group) < 2:
+            return
         reach = [max(shared[i] if i else 0, shared[i + 1] if i + 1 < len(group) else 0) for i in range(len(group))]
         by_offset: dict[int, list[int]] = {}
         for i, (_, left, _, _, count) in enumerate(group):
@@ -385,18 +390,21 @@ def joined(spans: np.ndarray) -> np.ndarray:
 
 
 def _kept(packed: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    """Each text's kept bytes and removed spans, from the verdicts and the spans of the merge."""
+    """Each text's kept bytes and removed spans, from what stands twice in the block and the spans of the merge."""
     columns = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
     if not len(packed):
         return pd.DataFrame(columns=columns)
     row = packed.iloc[0]
     text, sizes = unpacked(row["data"]), np.asarray(row["sizes"], dtype=np.int64)
     a = Anchors(text, sizes)
-    _, n, context, _ = a.local()
-    settled = n >= 2
-    settled[context[told.loc[told["verdict"].isin((SETTLED, SETTLED + SORTED)), "at"].to_numpy(dtype=np.int64)]] = True
-    own = settled[context] if len(context) else np.empty(0, bool)
-    spans = [np.stack((a.first[own], a.first[own] + a.count[own] - 1 + LENGTH), 1)]
+    begin, end = a.first, a.first + a.count - 1 + LENGTH
+    first, n, context, _ = a.local()
+    twice = n[context] >= 2 if len(context) else np.empty(0, bool)
+    # a context that is only hashed like the block's first of it is none
+    model = first[context[twice]]
+    same = [text[i:j] == text[k:m] for i, j, k, m in zip(begin[twice].tolist(), end[twice].tolist(), begin[model].tolist(), end[model].tolist(), strict=True)]
+    own = np.flatnonzero(twice)[np.array(same, dtype=bool)]
+    spans = [np.stack((begin[own], end[own]), 1)]
     spans += [np.frombuffer(s, np.int64).reshape(-1, 2) for s in told["spans"] if s is not None]
     change = np.zeros(len(text) + 1, dtype=np.int32)
     for s in spans:
@@ -428,12 +436,11 @@ def repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     packed = written(blocks(docs))
     # a range merges what RANGE_BLOCKS blocks have at most, if their borders are spread evenly
     cuts = splitters(docs, ranges or max(4 * partitions(spark), -(-packed.count() // RANGE_BLOCKS)))
-    told = written(verdicts(packed))
+    told = written(open_contexts(packed))
     # one row a block on either side; a block's anchors bound what it is told
     runs = packed.select("block", "sizes", "data").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_runs(cuts), "part int, block long, data binary")
     spans = runs.groupBy("part").applyInPandas(_merged, "block long, spans binary")
-    side = told.select("block", "at", "verdict", F.lit(None).cast("binary").alias("spans")).unionByName(spans.select("block", F.lit(0).cast("long").alias("at"), F.lit(0).alias("verdict"), "spans"))
-    return packed.groupBy("block").cogroup(side.groupBy("block")).applyInPandas(_kept, "doc_id long, n_bytes long, n_removed long, spans array<int>, kept binary")
+    return packed.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_kept, "doc_id long, n_bytes long, n_removed long, spans array<int>, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
