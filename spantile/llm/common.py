@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -44,6 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def handed_back() -> None:
+    """Gives freed memory back to the machine, where the C library can: a driver that has trained a model has other work to do."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

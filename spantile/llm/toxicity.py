@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, documents, whole
+from .common import arrow_batches, documents, handed_back, whole
 
 BUCKETS, DIMENSION = 1 << 17, 8
 WINDOW = 48
@@ -186,6 +186,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, keep: Column) -> DataFrame:
     """``docs`` with score and predicted, by a model of the labelled documents for which ``keep`` holds."""
     model = train(*labelled(docs, labels, keep))
+    handed_back()
     return scored(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
