@@ -346,6 +346,55 @@ def test_lm_trains_on_more_as_the_corpus_grows(spark, monkeypatch):
     assert sum(i < 400 for i in shared) * 3 < len(shared)
 
 
+def test_lm_learns_from_all_training_documents(spark, monkeypatch):
+    """Ids, weights, and what weight and mass are chosen from: of all training documents, however few the driver samples."""
+    monkeypatch.setattr(lm_scoring, "TRAIN_DOCS", 4)
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(("red", "green", "blue", "Éclair", "x" * 30)) for _ in range(rnd.randint(0, 40))) for _ in range(300)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    held, used, counted = {}, [], []
+    for name in ("trained", "fitted"):
+        monkeypatch.setattr(lm_scoring, name, lambda learnt, x, name=name, own=getattr(lm_scoring, name): held.setdefault(name, learnt) and own(learnt, x))
+    monkeypatch.setattr(lm_scoring, "counted_ids", lambda *a, own=lm_scoring.counted_ids: counted.append(own(*a)) or counted[0])
+    assert lm_scoring.lm_scores(docs).count() == 301
+    ranks = lm_scoring.public_tokenizers.path("byte_bpe_50k.tiktoken")
+    words = lm_scoring.words_of([(t or "").encode() for i, t in enumerate(texts) if lm_scoring.is_training(i)])
+    flat, text, _ = lm_scoring.stream(words, *lm_scoring.spellings(words.spelled, ranks))
+    assert lm_scoring._total(held["trained"].where(F.col("part") != lm_scoring.BINS))[0] == len(flat)
+    bins = held["fitted"].where(F.col("part") == lm_scoring.BINS).select("held").mapInPandas(lm_scoring._bins, "key double, n double, own double, seen double, runs double, contexts double").toPandas()
+    assert bins["n"].sum() == len(words.units()[0])
+    assert (counted[0][0] == np.bincount(flat, minlength=lm_scoring.IDS)).all()
+    near = np.zeros((lm_scoring.IDS, lm_scoring.NEAR))
+    for i in range(len(flat)):
+        for j in range(max(0, i - lm_scoring.REACH), min(len(flat), i + lm_scoring.REACH + 1)):
+            near[flat[i]] += lm_scoring._codes()[flat[j]] * (i != j and text[i] == text[j])
+    assert np.allclose(counted[0][1], near, rtol=1e-4, atol=0.02)
+    assert np.allclose(lm_scoring.neighbours(flat, text, 7), near, atol=1e-4)
+
+
+def test_lm_counts_of_other_texts(spark):
+    """Weight and mass are chosen without a text's own counts, by what was said of each word before it was learnt from."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(("red", "green", "blue")) for _ in range(rnd.randint(0, 9))) for _ in range(60)]
+    packed = lm_scoring.blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()[0]
+    words = lm_scoring.words_of(lm_scoring._read(packed)[0])
+    learns = np.array([lm_scoring.is_training(i) for i in packed.ids])
+    rows = lm_scoring.Asked.of(words).rows(0, learns[words.units()[1]], 0)
+    got = np.stack(lm_scoring.without_own(words, lm_scoring._adding(rows), learns), 1)
+    want, units = [], {i: ["^^", "^", *t.split(), "$"] for i, t in enumerate(texts) if lm_scoring.is_training(i)}
+    each = {i: [Counter(zip(*[u[k:] for k in at])) for at in ((2,), (0, 1, 2))] + [Counter(zip(u, u[1:-1]))] for i, u in units.items()}
+    for i in (i for i in packed.ids if i in units):
+        others = [sum((each[j][k] for j in units if j != i), Counter()) for k in range(3)]
+        want += [(others[0][x[2:]], others[1][x], others[2][x[:2]]) for x in zip(units[i], units[i][1:], units[i][2:])]
+    assert got.tolist() == [list(map(float, x)) for x in want]
+    flat, text = np.array([1, 2, 1, 3, 2, 1] * 30), np.zeros(180, int)
+    par, told_ = {k: v.astype(np.float64) for k, v in _weights(np.random.default_rng(3)).items()}, np.zeros((2, 179))
+    lm_scoring.learn(par, flat, text, flat, 1, 0.0, opens=np.array([0, 1.0, 0, 1, 0]), told=told_)
+    logits = _states(par, flat, text, 0, 179) @ par["out"] + par["bias"]
+    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    assert np.allclose(told_, [np.log(p[np.arange(179), flat[1:]]), np.log(p[:, 1] + p[:, 3])], atol=1e-6)
+
+
 def test_lm_with_a_doc_id_that_many_rows_have(spark):
     docs = spark.range(2000).select(F.lit(3).cast("long").alias("doc_id"), F.substring(F.md5(F.col("id").cast("string")), 1, 3).alias("text"))
     assert len(lm_scoring.sampled(docs, lm_scoring.is_training)) == 1
