@@ -6,8 +6,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -310,6 +312,28 @@ def test_lm_is_a_distribution():
     assert abs(lm_scoring.mixed(own, seen, 10, gram, 3.0, 0.3, 2.0).sum() - 1) < 1e-12
 
 
+def test_lm_reads_and_spells_a_block_once(monkeypatch):
+    """What follows the coding of a block learns and scores without its texts, and from the same words, hashes and ids."""
+    ranks = lm_scoring.public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rnd = random.Random(5)
+    for texts, lot in (["Red green\tred", "", "x\u3000y \u65e5\u672c <|endoftext|>", "é" * 40], 1 << 19), ([" ".join(rnd.choice(("a", "bb", "cé", "x\u2003y")) + str(rnd.randint(0, 9)) for _ in range(30)) for _ in range(9)], 16), (["\ud800x y"], 1 << 19):
+        monkeypatch.setattr(lm_scoring, "HASHED_BYTES", lot)
+        held, ids = [t.encode("utf-8", "surrogatepass") for t in texts], [None, *range(1, len(texts))]
+        packed = pd.DataFrame({"block": [0], "ids": [ids], "sizes": [[len(t) for t in held]], "data": [zstandard.compress(b"".join(held))]})
+        coded = next(lm_scoring._coding(ranks)(iter([packed])))
+        assert not {"data", "text"} & set(coded.columns)
+        words, spelling, back = lm_scoring._coded(next(coded.itertuples(index=False)), ranks)
+        want = lm_scoring.words_of(held)
+        assert back == ids and words.hashes.tolist() == want.hashes.tolist()
+        assert words.unit_hashes()[words.units()[0]].tolist() == want.unit_hashes()[want.units()[0]].tolist()
+        assert words.units()[1].tolist() == want.units()[1].tolist()
+        for got, x in zip(lm_scoring.stream(words, *spelling), lm_scoring.stream(want, *lm_scoring.spellings(want.spelled, ranks)), strict=True):
+            assert got.tolist() == x.tolist()
+        chosen = np.arange(len(texts)) % 2 == 0
+        some, fewer = words.those(chosen), lm_scoring.words_of([t for t, x in zip(held, chosen, strict=True) if x])
+        assert [some.hashes[some.number].tolist(), some.of.tolist(), some.texts] == [fewer.hashes[fewer.number].tolist(), fewer.of.tolist(), fewer.texts]
+
+
 def test_lm_counts_runs_of_the_whole_corpus(spark):
     """Runs of three words and their first two are counted in all training documents, and in no other."""
     rnd = random.Random(8)
