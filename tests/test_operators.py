@@ -5,15 +5,17 @@ import gzip
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spantile import queries
-from spantile.operators import catalogue, consumers, lattice, phrases, tokens
+from spantile.operators import catalogue, consumers, inbatch, lattice, match, phrases, tokens
 from spantile.operators.api import PatternSet
-from spantile.operators.resolve import priority, resolve
+from spantile.operators.resolve import level_number, priority, resolve
 from spantile.sources import compiled, dictionary, rules
 
 
@@ -471,3 +473,54 @@ def test_sums_of_documents(spark, monkeypatch):
     with pytest.raises(ValueError):
         lattice.Runs(lattice.MINI).sums(["a\0b"], np.zeros(1, int))
     _unsearched(monkeypatch, dataclasses.replace(lattice.MINI, longest_run=None), ["The cat, 12", "", "é " + "x" * 40], (6, 51, 36_000, 3))
+
+
+BATCH_RULES = (
+    'a [N1] = "x" "y" ; b [N1] = "x" "y" 名詞+ ; c [N2] = 動詞 ; d [N4] = _ "y" _ ; e = "x" ; f = nothing ; g [N3] = 名詞 名詞* ; h = 名詞+ 名詞 ; i [N5] = e? "y" ;',
+    'a [N3] = 名詞$0 _ @=$0 ; b [N3] = ("x" | "y") 動詞* ; c = f f ; d [N4] = _ _ _ _ ; e [N4] = 動詞 _ ;',
+    'a = "x" _ _ ; b [N5 N4] = "y" "x"? ;',
+)
+
+
+def _found_plainly(grammar, tokens):
+    """What stays of a text's matches, said one by one: ord, s, e, fixed, phrases and span."""
+    m = match.Matcher(grammar, match.Tokens([s for s, _ in tokens], [f or "" for _, f in tokens], {}))
+    levels = [level_number(r.levels) for r in grammar.rules]
+    found = [(levels[i], s, e, i, tuple(fixed)) for i, r in enumerate(grammar.rules) for s, e, fixed in m.find(r)]
+    fixed = {(p, s, e, i): x for p, s, e, i, x in found}
+    numbers, n, before = [], -1, "記号"
+    for _, f in tokens:
+        pos0, pos1 = ((f or "").split(",") + ["*"])[:2]
+        n += pos0 != "記号" and (before == "記号" or pos0 in phrases.CONTENT and pos1 not in phrases.CONTENT[pos0])
+        numbers.append(-1 if pos0 == "記号" else n)
+        before = pos0
+    for p, s, e, i in sorted(kept([x[:4] for x in found]), key=lambda x: (x[1], -x[2], -1 if x[0] is None else x[0], x[3])):
+        first, last = numbers[s], numbers[e - 1]
+        span = last - first + 1 if first >= 0 and last >= 0 else 0
+        most = grammar.rules[i].max_span or (2 if (p or 0) >= 4 else 0)
+        if not most or span <= most:
+            yield i, s, e, fixed[p, s, e, i], tuple(tokens[s:e]), first, last, span
+
+
+def test_find_all_of_batches():
+    """All matches of many texts at once are those of each text by itself."""
+    rnd, kinds = random.Random(6), [("x", "名詞,一般,*,*,*,*,x"), ("y", "動詞,自立,*,*,*,*,y"), ("z", "名詞,接尾,*,*,*,*,x"), (".", "記号,*"), ("y", "助詞"), (None, None), ("x", None), ("x", "名詞")]
+    for text in BATCH_RULES:
+        for most in (0, 2):
+            grammar = PatternSet.from_text(text).set_max_span("a", most).grammar
+            texts = [[rnd.choice(kinds) for _ in range(rnd.randint(0, 12))] for _ in range(300)]
+            tokens = pa.array([[{"surface": s, "feature": f} for s, f in t] for t in texts], pa.list_(pa.struct([("surface", pa.string()), ("feature", pa.string())])))
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), tokens], ["k", "tokens"]).slice(3)
+            got = [tuple(r.values()) for out in inbatch.find_all(grammar, batch, ["k"]) for r in out.to_pylist()]
+            want = [(k, *x) for k, t in enumerate(texts) for x in _found_plainly(grammar, t) if k >= 3]
+            assert [(k, i, s, e, tuple(x), tuple((n["surface"], n["feature"]) for n in nodes), *rest) for k, i, s, e, x, nodes, *rest in got] == want
+    assert not list(inbatch.find_all(grammar, batch.slice(0, 0), ["k"]))[0].num_rows
+
+
+def test_find_all_of_a_long_text():
+    """The matches of one text of 200,000 tokens are found and resolved at once, not each against all others."""
+    grammar = PatternSet.from_text('a [N2] = "x" "y" ; b = "y" ; c = "x" ; d = unknown ;').grammar
+    tokens = pa.array([[{"surface": s, "feature": "名詞"} for s in ("x", "y")] * 100_000], pa.list_(pa.struct([("surface", pa.string()), ("feature", pa.string())])))
+    began = time.time()
+    (got,) = inbatch.find_all(grammar, pa.RecordBatch.from_arrays([pa.array([1]), tokens], ["k", "tokens"]), ["k"])
+    assert got.num_rows == 300_000 and time.time() - began < 60
