@@ -538,3 +538,27 @@ def test_span_limits_in_one_pass(spark):
     assert {r.two for r in every} == {True, False}
     plan = queries.queries()["span_limits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_conformance_without_the_whole_grammar(spark, monkeypatch):
+    """Rules go with the rules that they need, through references of references; the grammar is never brought together."""
+    patterns = {"n": "名詞", "nn": "n n", "nnn": "nn n", "lost": "nobody 名詞", "loop": "名詞 (loop | 動詞)", "v": "動詞", "empty": " ", "back": "(名詞$0) @=$0"}
+    rows = spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate([*patterns.items(), ("v", "名詞 v")])] + [(100 + i, f"x{i}", '(nnn) "b"') for i in range(200)], "id long, rule_name string, pattern string")
+    said = [(i, text, "ja", j) for i in [*range(9), *range(100, 300)] for j, text in enumerate(("a b b", "run", "a running run", "a a a b", "a b b"))]
+    examples = spark.createDataFrame([*said, *said[:20], (0, "a", "en", 9)], "grammar_id long, sentence string, lang string, sort_order int")
+    excluded = spark.createDataFrame([(0, " a b b")], "grammar_id long, sentence string")
+
+    def tokenize(texts):
+        words = texts.select("grammar_id", "example", F.posexplode(F.split("text", " ")).alias("idx", "surface"))
+        tag = F.when(F.col("surface").startswith("run"), "動詞").otherwise("名詞")
+        return words.withColumn("feature", F.concat(tag, F.lit(",*,*,*,*,*,"), "surface"))
+
+    monkeypatch.setattr(type(rows), "collect", lambda *_: pytest.fail("rules were collected"))
+    report = catalogue.conformance_of(rows, examples, excluded, tokenize)
+    monkeypatch.undo()
+    got = {r.id: (r.rule, r.passed, r.matched, r.failed) for r in report.collect()}
+    want = {0: ("n", False, 2, 1), 1: ("nn", False, 3, 2), 2: ("nnn", False, 3, 2), 3: ("lost", False, 0, 5), 4: ("loop", False, 1, 4), 5: ("v", False, 2, 3), 7: ("back", False, 3, 2), 8: ("v", False, 2, 3)}
+    assert got == want | {100 + i: (f"x{i}", False, 1, 4) for i in range(200)}
+    bad = spark.createDataFrame([(1, "p", "q 名詞"), (2, "q", "p 動詞")], "id long, rule_name string, pattern string")
+    with pytest.raises(Exception, match="begins with itself"):
+        catalogue.conformance_of(bad, examples, excluded, tokenize).collect()
